@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphloom.llm import cooccur, terms, topk
+from morphloom.llm import cooccur, looks, packing, terms, tokens, topk
 from morphloom.operators.live import live_rows
 from morphloom.plans.tables import table
 
@@ -36,6 +36,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_n(good, ["pair", "target_word"], order, 3, "cand_id").select("pair", "target_word", "place", "cand_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that look like an entry of their pair's lexicon but are stored with other characters."""
+    scripts = table(spark, folder, "lang_pairs").groupBy("pair").agg(F.min("script").alias("script"))
+
+    def looked(name: str, key: str, text: str) -> DataFrame:
+        rows = table(spark, folder, name).select(F.lit(name).alias("tab"), F.col(key).alias("row_id"), "pair", F.col(text).alias("text"))
+        return looks.with_look(rows.join(F.broadcast(scripts), "pair"), "text", "script").filter(F.col("look").isNotNull())
+
+    tabs = [looked("gemma_proposals", "prop_id", "word"), looked("morph_markers", "marker_id", "form"), looked("lex_entries", "entry_id", "form")]
+    rows = tabs[0].unionByName(tabs[1]).unionByName(tabs[2])
+    entries = tabs[2].select(F.col("row_id").alias("entry_id"), "pair", "text", "look")
+    return looks.lead_back(rows, entries)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Source words that stand together under one target word of a chunk far more often than chance."""
     wanted = ["cand_id", "loaded_at", "pair", "chunk_id", "target_word", "source_word", "count"]
@@ -45,3 +59,29 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     counts = cooccur.PairTable(spark).apply(cooccur.deltas(baskets))
     found = cooccur.associations(counts.state(), least=5, lift=8)
     return found.select(F.col("space").alias("pair"), "word_a", "word_b")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as the list of its byte_bpe_50k ids."""
+    return tokens.encode_column(table(spark, folder, "documents"), "doc_id", "text")
+
+
+#: Tokens a container holds.
+CAPACITY = 4096
+
+
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, or piece of a text above the capacity, with its container."""
+    return packing.pack(tokens.count_column(table(spark, folder, "documents"), "doc_id", "text"), "doc_id", "tokens", CAPACITY)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that packing had to split."""
+    return p7_pack(spark, folder).filter(F.col("piece") == 2).select("doc_id")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """The packing's containers, tokens and unused share."""
+    packed = p7_pack(spark, folder).filter(F.col("container").isNotNull())
+    filled = packed.agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    return filled.withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * F.lit(CAPACITY)), 6))

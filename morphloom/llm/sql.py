@@ -17,14 +17,14 @@ ln AS (SELECT sum(c) AS total FROM l),
 a AS (
   SELECT * FROM (SELECT affix_id, form, "count" AS c, row_number() OVER (PARTITION BY affix_id ORDER BY updated_at DESC) AS k FROM affixes)
   WHERE k = 1 AND c >= 0 AND form IS NOT NULL),
-at AS (SELECT form, sum(c) AS n FROM a GROUP BY form),
+af AS (SELECT form, sum(c) AS n FROM a GROUP BY form),
 an AS (SELECT sum(c) AS total FROM a)
 SELECT 'morph_markers' AS tab, form AS term, 'rare' AS mark FROM mt WHERE n < 3
 UNION ALL SELECT 'morph_markers', form, 'common' FROM mt, mn WHERE n > 0.02 * total
 UNION ALL SELECT 'lex_entries', form, 'rare' FROM lt WHERE n < 3
 UNION ALL SELECT 'lex_entries', form, 'common' FROM lt, ln WHERE n > 0.01 * total
-UNION ALL SELECT 'affixes', form, 'rare' FROM at WHERE n < 3
-UNION ALL SELECT 'affixes', form, 'common' FROM at, an WHERE n > 0.01 * total
+UNION ALL SELECT 'affixes', form, 'rare' FROM af WHERE n < 3
+UNION ALL SELECT 'affixes', form, 'common' FROM af, an WHERE n > 0.01 * total
 """,
     "p3_found": """
 WITH live AS (
