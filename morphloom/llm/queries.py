@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphloom.llm import cooccur, looks, packing, terms, tokens, topk
+from morphloom.llm import abuse, cooccur, looks, packing, terms, tokens, topk
 from morphloom.operators.live import live_rows
 from morphloom.plans.tables import table
 
@@ -85,3 +85,30 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     packed = p7_pack(spark, folder).filter(F.col("container").isNotNull())
     filled = packed.agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
     return filled.withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * F.lit(CAPACITY)), 6))
+
+
+def _abuse_model(spark: SparkSession, folder: str) -> abuse.Model:
+    return abuse.learn(*[table(spark, folder, name) for name in ("documents", "doc_labels", "abuse_terms", "lang_pairs")])
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score for abusive, hateful or sexual content."""
+    return abuse.score_documents(table(spark, folder, "documents"), _abuse_model(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents whose score reaches the threshold."""
+    return p8_scores(spark, folder).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, documents, flagged, rate): the share of cases in every source; a null source is one of its own."""
+    documents = table(spark, folder, "documents")
+    scored = p8_scores(spark, folder).join(documents.select("doc_id", "source"), "doc_id")
+    flagged = F.sum(F.when(F.col("score") >= abuse.THRESHOLD, 1).otherwise(0)).alias("flagged")
+    return scored.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), flagged).withColumn("rate", F.round(F.col("flagged") / F.col("documents"), 6))
+
+
+def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The offending sentences of every document."""
+    return abuse.locate_sentences(table(spark, folder, "documents"), _abuse_model(spark, folder))
