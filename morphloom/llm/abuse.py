@@ -32,7 +32,7 @@ from morphloom.llm.looks import lookalikes, shows_nothing
 from morphloom.operators.live import live_rows
 
 #: Labelled documents the model is fitted on, at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Features are hashed to so many bits.
 BITS = 20
 #: A document with at least this score counts as a case.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphloom.llm import abuse, cooccur, looks, packing, terms, tokens, topk
-from morphloom.operators.live import live_rows
+from morphloom.operators.live import live_rows, live_subgroups
 from morphloom.plans.tables import table
 
 
@@ -29,11 +29,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The three best candidates of every target word of a pair."""
     wanted = ["cand_id", "loaded_at", "pair", "target_word", "source_word", "prob", "count"]
-    live = live_rows(table(spark, folder, "gloss_candidates").select(*wanted), "cand_id", "loaded_at").drop("loaded_at")
+    live = live_subgroups(table(spark, folder, "gloss_candidates").select(*wanted), "cand_id", "loaded_at").drop("loaded_at")
     good = live.filter(F.col("target_word").isNotNull() & F.col("source_word").isNotNull() & ~F.isnan("prob") & F.col("prob").between(0.0, 1.0))
     good = good.withColumn("prob", F.col("prob") + F.lit(0.0))
     order = [F.col("prob").desc(), F.col("count").desc_nulls_last(), F.col("source_word").asc(), F.col("cand_id").asc()]
-    return topk.top_n(good, ["pair", "target_word"], order, 3, "cand_id").select("pair", "target_word", "place", "cand_id")
+    return topk.top_n(good, ["pair", "target_word"], order, 3, "cand_id", "subgroup").select("pair", "target_word", "place", "cand_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

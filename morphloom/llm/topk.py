@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 SUBGROUPS = 32
 
 
-def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, item: str, subgroups: int = SUBGROUPS, place: str = "place") -> DataFrame:
+def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, item: str, subgroups: int | str = SUBGROUPS, place: str = "place") -> DataFrame:
     """The first ``n`` rows of each group under ``order``, numbered from 1 in ``place``.
 
-    Stage one hashes each group into ``subgroups`` by the item's identifier and
-    keeps n rows in each; stage two ranks the survivors, at most n x subgroups a
+    Stage one hashes each group into ``subgroups`` by the item's identifier (or
+    takes the column of that name as the subgroup: rows that are partitioned by
+    it already are ranked where they are) and keeps n rows in each; stage two ranks the survivors, at most n x subgroups a
     group, by the same order. Since a row among the first n of its group is among
     the first n of its subgroup, nothing is lost. Both ranks are limited before
     their exchange too, so a task sends at most n rows of a (sub)group.
@@ -25,7 +26,8 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, item: st
     salt, rank = "__salt", "__rank"
     while salt in df.columns or rank in df.columns:
         salt, rank = salt + "_", rank + "_"
-    salted = df.withColumn(salt, F.pmod(F.xxhash64(F.col(item)), F.lit(subgroups)).cast("int"))
+    hashed = F.col(subgroups) if isinstance(subgroups, str) else F.pmod(F.xxhash64(F.col(item)), F.lit(subgroups)).cast("int")
+    salted = df.withColumn(salt, hashed)
     inner = Window.partitionBy(*group, salt).orderBy(*order)
     survivors = salted.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= n).drop(rank, salt)
     outer = Window.partitionBy(*group).orderBy(*order)
