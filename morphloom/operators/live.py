@@ -18,7 +18,7 @@ def _orderable(field: T.StructField) -> Column:
 #: Rows looked at to find ids with very many versions, and how often an id must be among them.
 PROBE, HOT = 100_000, 50
 #: Neighbouring integer ids that stay together, as a power of two.
-NEIGHBOURS = 8
+NEIGHBOURS = 12
 
 
 def hot_values(df: DataFrame, key: str) -> list:
