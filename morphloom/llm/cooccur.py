@@ -1,11 +1,14 @@
 """Items that appear together (problem 5): an incremental table of pair counts.
 
 State is one table of signed counts, hash-bucketed by its key, with three kinds
-of rows for each space (a language pair, say): (a, b, n) with a < b says that n
-baskets hold both; (a, null, n) that n baskets hold a; (null, null, n) that there
-are n baskets. A change of baskets becomes signed rows of the same form: the old
-content of a changed basket counts -1, the new one +1. Deltas merge into the
-state by addition, and association is recomputed from the merged counts.
+of rows. (a, b, null, null, n): n baskets hold the items with codes a and b.
+(a, null, space, item, n): n baskets of the space (a language pair, say) hold the
+item, whose code is a. (null, null, space, null, n): the space has n baskets. An
+item's code is a 64-bit hash of space and item, so that the many pair rows stay
+narrow; that no two items share a code is verified on every merge, over all
+items. A change of baskets becomes signed rows of the same form: the old content
+of a changed basket counts -1, the new one +1. Deltas merge into the state by
+addition, and association is recomputed from the merged counts.
 """
 
 from __future__ import annotations
@@ -18,53 +21,64 @@ from pyspark.sql import functions as F
 
 from morphloom.session import materialise, shared_folder
 
-KEY = ("space", "a", "b")
-SCHEMA = "space string, a string, b string, n bigint"
+KEY = ("a", "b", "space", "item")
+SCHEMA = "a bigint, b bigint, space string, item string, n bigint"
 #: Hash buckets of the persistent table.
-BUCKETS = 16
-#: Pairs that one row of a cut basket makes, about. Larger baskets become many rows.
-PAIRS_A_ROW = 16_384
+BUCKETS = 8
+#: Tasks that share the baskets of a value that very many rows have.
+SPREAD = 32
 
 
-def baskets_of(df: DataFrame, space: str, basket: list[str], item: str) -> DataFrame:
+def baskets_of(df: DataFrame, space: str, basket: list[str], item: str, within: str | None = None, near: str | None = None, hot: list | None = None) -> DataFrame:
     """(space, basket columns, items): the distinct items of each basket, in ascending order.
 
     Rows with a null item are ignored; null is a basket value like any other.
-    """
-    named = df.filter(F.col(item).isNotNull()).select(F.col(space).alias("space"), *basket, F.col(item).alias("__item"))
-    return named.groupBy("space", *basket).agg(F.array_sort(F.collect_set("__item")).alias("items"))
-
 
-def deltas(baskets: DataFrame, sign: int = 1) -> DataFrame:
-    """The signed rows that ``baskets`` (space, items) add to the state, summed by key."""
+    within: a column the rows are partitioned by already; the parts of baskets
+    that lie together are joined before they travel. near: a basket column whose
+    values tend to repeat pairs. Baskets with one value of it then meet in one
+    task, which counts their common pairs once; its values in ``hot``, those that
+    hold a large share of all rows, are spread over ``SPREAD`` tasks.
+    """
+    named = df.filter(F.col(item).isNotNull()).select(F.col(space).alias("space"), *basket, F.col(item).alias("__item"), *([within] if within else []))
+    key = ["space", *basket]
+    if near:
+        named = named.withColumn("__part", F.when(F.col(near).isin(hot), F.pmod(F.xxhash64(*basket), F.lit(SPREAD)).cast("int")).otherwise(0) if hot else F.lit(0))
+        key.append("__part")
+    sets = named.groupBy(*([within] if within else []), *key).agg(F.collect_set("__item").alias("items"))
+    if within:
+        if near:
+            sets = sets.repartition("space", near, "__part")
+        sets = sets.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return sets.select("space", *basket, F.array_sort("items").alias("items"))
+
+
+def deltas(baskets: DataFrame, sign: int = 1, seed: int = 0) -> DataFrame:
+    """The signed rows that ``baskets`` (space, items) add to the state, summed by key.
+
+    items must be distinct and ascending, as ``baskets_of`` makes them. Pairs are
+    made one after the other while they are counted; no list of them is kept.
+    """
     one = baskets.select("space", F.filter("items", lambda x: x.isNotNull()).alias("items")).filter(F.size("items") > 0)
-    none = F.lit(None).cast("string")
-    step = F.greatest(F.lit(1), F.floor(F.lit(PAIRS_A_ROW) / F.size("items"))).cast("int")
-    heads = F.transform(F.sequence(F.lit(1), F.size("items"), step), lambda i: F.struct(i.alias("at"), F.slice("items", i, step).alias("head")))
-    cut = one.withColumn("block", F.explode(heads)).select("space", "items", "block.at", "block.head")
-    entry = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    within = F.flatten(
-        F.transform(
-            "head",
-            lambda x, i: F.concat(
-                F.array(entry(x, none)),
-                F.transform(F.slice("items", F.col("at") + i + 1, F.size("items")), lambda y: entry(x, y)),
-            ),
-        )
-    )
-    basket = F.when(F.col("at") == 1, F.array(entry(none, none))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-    rows = cut.select("space", F.explode(F.concat(basket, within)).alias("e")).select("space", "e.a", "e.b")
+    coded = one.withColumn("codes", F.transform("items", lambda x: F.xxhash64(F.lit(seed), F.col("space"), x)))
+    firsts = coded.select("space", "items", "codes", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), "codes")).alias("at", "a"))
+    # for the basket itself (at 0) one row without b; for an item one without b and one for each later item
+    partners = F.concat(F.array(F.lit(None).cast("bigint")), F.when(F.col("at") > 0, F.slice("codes", F.col("at") + 1, F.size("codes"))).otherwise(F.array().cast("array<bigint>")))
+    item = F.when(F.col("at") > 0, F.get("items", F.col("at") - 1))
+    rows = firsts.select("space", "a", item.alias("item"), F.explode(partners).alias("b"))
+    single = F.col("b").isNull()
+    rows = rows.select("a", "b", F.when(single, F.col("space")).alias("space"), F.when(single, F.col("item")).alias("item"))
     return rows.groupBy(*KEY).agg((F.count(F.lit(1)) * F.lit(sign)).alias("n"))
 
 
-def changes(before: DataFrame, after: DataFrame, basket: list[str]) -> DataFrame:
+def changes(before: DataFrame, after: DataFrame, basket: list[str], seed: int = 0) -> DataFrame:
     """Signed deltas of the baskets whose items differ between ``before`` and ``after``; unchanged ones emit nothing."""
     key = ["space", *basket]
     old, new = before.select(*key, F.col("items").alias("old")), after.select(*key, F.col("items").alias("new"))
     same = reduce(lambda x, y: x & y, [F.col(f"o.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key])
     both = old.alias("o").join(new.alias("w"), same, "full_outer").select(F.coalesce("o.space", "w.space").alias("space"), "old", "new").filter(~F.col("old").eqNullSafe(F.col("new")))
-    minus = deltas(both.filter(F.col("old").isNotNull()).select("space", F.col("old").alias("items")), -1)
-    plus = deltas(both.filter(F.col("new").isNotNull()).select("space", F.col("new").alias("items")))
+    minus = deltas(both.filter(F.col("old").isNotNull()).select("space", F.col("old").alias("items")), -1, seed)
+    plus = deltas(both.filter(F.col("new").isNotNull()).select("space", F.col("new").alias("items")), 1, seed)
     return minus.unionByName(plus)
 
 
@@ -84,16 +98,12 @@ def associations(state: DataFrame, least: int = 1, lift: int = 0) -> DataFrame:
     this many times n_a x n_b. Pairs below ``least`` go before the joins. The
     products are made in decimals, so they cannot overflow.
     """
-    pairs = state.filter(F.col("b").isNotNull() & (F.col("n") >= least)).select("space", F.col("a").alias("word_a"), F.col("b").alias("word_b"), F.col("n").alias("n_ab"))
+    pairs = state.filter(F.col("b").isNotNull() & (F.col("n") >= least)).select("a", "b", F.col("n").alias("n_ab"))
     single = state.filter(F.col("a").isNotNull() & F.col("b").isNull() & (F.col("n") >= least))
     total = state.filter(F.col("a").isNull()).select(F.col("space").alias("s0"), F.col("n").alias("baskets"))
-    n_a = single.select(F.col("space").alias("s1"), F.col("a").alias("w1"), F.col("n").alias("n_a"))
-    n_b = single.select(F.col("space").alias("s2"), F.col("a").alias("w2"), F.col("n").alias("n_b"))
-    joined = (
-        pairs.join(n_a, F.col("space").eqNullSafe(F.col("s1")) & (F.col("word_a") == F.col("w1")))
-        .join(n_b, F.col("space").eqNullSafe(F.col("s2")) & (F.col("word_b") == F.col("w2")))
-        .join(total, F.col("space").eqNullSafe(F.col("s0")))
-    )
+    n_a = single.select("a", "space", F.col("item").alias("word_a"), F.col("n").alias("n_a"))
+    n_b = single.select(F.col("a").alias("b"), F.col("item").alias("word_b"), F.col("n").alias("n_b"))
+    joined = pairs.join(n_a, "a").join(n_b, "b").join(total, F.col("space").eqNullSafe(F.col("s0")))
     times = lambda x, y: x.cast("decimal(19, 0)") * y.cast("decimal(19, 0)")
     far = times(F.col("n_ab"), F.col("baskets")) >= times(F.col("n_a") * F.lit(lift), F.col("n_b"))
     return joined.filter(far).select("space", "word_a", "word_b", "n_ab", "n_a", "n_b", "baskets")
@@ -115,7 +125,7 @@ class PairTable:
         self.generation = 0
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.select(*KEY, "n", F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int").alias("bucket"))
+        return df.select(*KEY, "n", F.pmod(F.xxhash64("a", "space"), F.lit(self.buckets)).cast("int").alias("bucket"))
 
     def state(self, only: list[int] | None = None) -> DataFrame:
         """(space, a, b, n) of all buckets, or of those in ``only``."""
@@ -134,11 +144,18 @@ class PairTable:
             merged = merge(self.state(hit), *parts)
         else:
             hit, merged = list(range(self.buckets)), merge(None, *parts)
-        self._bucketed(merged).write.option("compression", "zstd").partitionBy("bucket").parquet(new)
+        self._bucketed(merged).sortWithinPartitions("bucket", "a", "b").write.option("compression", "zstd").partitionBy("bucket").parquet(new)
         written = self._folders(new)
+        self._verify(new)
         self.newest = {b: p for b, p in self.newest.items() if b not in hit} | {b: f"{new}/bucket={b}" for b in written}
         return self
 
+    def _verify(self, path: str) -> None:
+        """Raise if two items of the table have one code; deltas with another seed then have to be made."""
+        names = self.spark.read.schema(SCHEMA).parquet(path) if self._folders(path) else None
+        if names is not None and names.filter("a is not null and b is null").groupBy("a").count().filter("count > 1").limit(1).count():
+            raise ValueError("two items share a code: make the deltas with another seed")
+
     def _folders(self, path: str) -> list[int]:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         names = [s.getPath().getName() for s in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphloom.llm import abuse, cooccur, looks, packing, terms, tokens, topk
-from morphloom.operators.live import live_rows, live_subgroups
+from morphloom.operators.live import hot_values, live_rows, live_subgroups
 from morphloom.plans.tables import table
 
 
@@ -52,10 +52,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Source words that stand together under one target word of a chunk far more often than chance."""
-    wanted = ["cand_id", "loaded_at", "pair", "chunk_id", "target_word", "source_word", "count"]
-    live = live_rows(table(spark, folder, "gloss_candidates").select(*wanted), "cand_id", "loaded_at")
-    rows = live.filter(F.col("target_word").isNotNull() & (F.col("count") >= 2))
-    baskets = cooccur.baskets_of(rows, "pair", ["chunk_id", "target_word"], "source_word")
+    # a row that is no support keeps its id and time, so that it still replaces older versions, but travels without its words
+    rows = table(spark, folder, "gloss_candidates")
+    support = F.col("target_word").isNotNull() & F.col("source_word").isNotNull() & (F.col("count") >= 2)
+    hot = hot_values(rows.filter(F.col("target_word").isNotNull()), "target_word")
+    lean = rows.select("cand_id", "loaded_at", *[F.when(support, F.col(c)).alias(c) for c in ("pair", "chunk_id", "target_word", "source_word")])
+    rows = live_subgroups(lean, "cand_id", "loaded_at").filter(F.col("target_word").isNotNull())
+    baskets = cooccur.baskets_of(rows, "pair", ["chunk_id", "target_word"], "source_word", within="subgroup", near="target_word", hot=hot)
     counts = cooccur.PairTable(spark).apply(cooccur.deltas(baskets))
     found = cooccur.associations(counts.state(), least=5, lift=8)
     return found.select(F.col("space").alias("pair"), "word_a", "word_b")
