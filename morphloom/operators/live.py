@@ -38,7 +38,7 @@ def hot_values(df: DataFrame, key: str) -> list:
 def live_subgroups(df: DataFrame, key: str, time: str, name: str = "subgroup") -> DataFrame:
     """``live_rows`` of a table with integer ids, spread over hash subgroups of the id.
 
-    Adds column ``name``; rows are hash-partitioned by it, so what is grouped by
+    Adds column ``name`` (one of that name is replaced); rows are hash-partitioned by it, so what is grouped by
     it and anything else needs no further exchange. Neighbouring ids fall into
     one subgroup: rows written together stay together, which packs better and
     lets later aggregations combine more before they exchange. Ids with very many

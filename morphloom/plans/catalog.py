@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from morphloom.plans import tickets
+from morphloom.plans import corpus, grammar, review, tickets
 
-QUERIES = {**tickets.QUERIES}
-SQL = {**tickets.SQL}
+PARTS = (tickets, corpus, grammar, review)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+SQL = {name: text for part in PARTS for name, text in part.SQL.items()}
