@@ -19,9 +19,9 @@ def edges(words: DataFrame, keys: list[str], word: str, longest: int = 5, stem:
     """
     size = F.length(word)
     lengths = F.sequence(F.lit(shortest), F.least(F.lit(longest), size - stem))
-    cut = words.filter(size >= stem + shortest).withColumn("k", F.explode(lengths))
-    prefix = F.struct(F.lit("prefix").alias("side"), F.expr(f"left({word}, k)").alias("affix"), F.expr(f"substr({word}, k + 1)").alias("stem"))
-    suffix = F.struct(F.lit("suffix").alias("side"), F.expr(f"right({word}, k)").alias("affix"), F.expr(f"left({word}, length({word}) - k)").alias("stem"))
+    cut = words.filter(size >= stem + shortest).withColumn("__cut", F.explode(lengths))
+    prefix = F.struct(F.lit("prefix").alias("side"), F.expr(f"left({word}, __cut)").alias("affix"), F.expr(f"substr({word}, __cut + 1)").alias("stem"))
+    suffix = F.struct(F.lit("suffix").alias("side"), F.expr(f"right({word}, __cut)").alias("affix"), F.expr(f"left({word}, length({word}) - __cut)").alias("stem"))
     kept = [c for c in words.columns if c not in (*keys, word)]
     return cut.withColumn("e", F.explode(F.array(prefix, suffix))).select(*keys, F.col(word).alias("word"), *kept, "e.side", "e.affix", "e.stem")
 
@@ -58,9 +58,9 @@ def affix_candidates(words: DataFrame, roots: DataFrame, keys: list[str], longes
     of the same word and side, as the longest root decides.
     """
     size = F.length("word")
-    cut = words.filter(size > root).withColumn("k", F.explode(F.sequence(F.lit(root), size - 1)))
-    left = F.struct(F.lit("suffix").alias("side"), F.expr("left(word, k)").alias("root"), F.expr("substr(word, k + 1)").alias("residue"))
-    right = F.struct(F.lit("prefix").alias("side"), F.expr("right(word, k)").alias("root"), F.expr("left(word, length(word) - k)").alias("residue"))
+    cut = words.filter(size > root).withColumn("__cut", F.explode(F.sequence(F.lit(root), size - 1)))
+    left = F.struct(F.lit("suffix").alias("side"), F.expr("left(word, __cut)").alias("root"), F.expr("substr(word, __cut + 1)").alias("residue"))
+    right = F.struct(F.lit("prefix").alias("side"), F.expr("right(word, __cut)").alias("root"), F.expr("left(word, length(word) - __cut)").alias("residue"))
     split = cut.withColumn("e", F.explode(F.array(left, right))).select(*keys, "word", "n", "e.side", "e.root", "e.residue")
     known = split.join(roots.select(*keys, "root").distinct(), [*keys, "root"])
     order = Window.partitionBy(*keys, "word", "side").orderBy(F.length("root").desc())

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from morphloom.plans import corpus, grammar, review, tickets
+from morphloom.plans import corpus, grammar, lexical, review, tickets
 
-PARTS = (tickets, corpus, grammar, review)
+PARTS = (tickets, corpus, grammar, review, lexical)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in PARTS for name, text in part.SQL.items()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +40,16 @@ def lift_entry(form: Column, gloss: Column, pos: Column) -> Column:
     )
 
 
-def write_entries(df: DataFrame, entry: Column, path: str) -> None:
-    """XML entries as text, one a line, without a root element: what ``rowTag`` readers take."""
-    df.select(entry.alias("value")).write.mode("overwrite").text(path)
+def write_entries(df: DataFrame, entry: Column, path: str, root: str = "dictionary") -> None:
+    """XML entries as text, one a line; each file is a whole document with the root element ``root``."""
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda text: pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["value"])
+        yield line(f"<{root}>")
+        yield from batches
+        yield line(f"</{root}>")
+
+    df.select(entry.alias("value")).mapInArrow(wrap, "value string").write.mode("overwrite").text(path)
 
 
 def stream_token(surface: Column, readings: Column) -> Column:
