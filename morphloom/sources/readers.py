@@ -6,7 +6,7 @@ or collects. Malformed rows are dropped or null, as each docstring says.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphloom.functions.text import tokens
@@ -72,18 +72,11 @@ def xml_elements(spark: SparkSession, path: str, row_tag: str, schema: str) -> D
 def bilingual_xml(spark: SparkSession, path: str) -> DataFrame:
     """(reference, reference_tags, vernacular, vernacular_tags): entries ``<e><p><l>..<s n=""/></l><r>..</r></p></e>``."""
     df = xml_elements(spark, path, "e", "p struct<l:string,r:string>")
-    lemma = lambda c: unescape(F.trim(F.regexp_extract(c, "^([^<]*)", 1)))
-    tags = lambda c: F.transform(F.regexp_extract_all(c, F.lit('<s n="([^"]*)"'), 1), unescape)
+    lemma = lambda c: F.trim(F.regexp_extract(c, r'(?s)^(.*?)(?:<s n="|$)', 1))
+    tags = lambda c: F.regexp_extract_all(c, F.lit('<s n="([^"]*)"'), 1)
     return df.select(lemma("p.l").alias("reference"), tags("p.l").alias("reference_tags"), lemma("p.r").alias("vernacular"), tags("p.r").alias("vernacular_tags"))
 
 
-def unescape(text: Column) -> Column:
-    """XML text with its escapes resolved."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
-
-
 def token_stream(texts: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """(keys, at, surface, analysis, lemma, tags): tokens ``^surface/lemma<tag>../..$``, one row for each analysis."""
     units = texts.select(*keys, F.posexplode(F.regexp_extract_all(column, F.lit(r"\^(.*?)\$"), 1)).alias("at", "unit"))
