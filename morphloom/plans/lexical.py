@@ -138,7 +138,7 @@ def shared_options(spark: SparkSession, folder: str) -> DataFrame:
 
 SPLIT = "x0 AS (SELECT DISTINCT pair, left(word, k) AS prefix, substr(word, k + 1) AS stem FROM (SELECT pair, word, unnest([1, 2, 3]) AS k FROM v) WHERE length(word) > 3 AND length(word) - k >= 3)"
 LCP = "len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: left({a}, i) = left({b}, i)))"
-EDIT = f"""ed AS (SELECT pair, form, pos, other, {LCP.format(a="form", b="other")} AS h, {LCP.format(a="reverse(form)", b="reverse(other)")} AS t FROM (SELECT pair, form, pos, unnest(allomorphs) AS other FROM l WHERE form IS NOT NULL) WHERE other IS NOT NULL),
+EDIT = f"""ed AS (SELECT pair, form, pos, other, {LCP.format(a="form", b="other")} AS h, {LCP.format(a="form", b="other").replace("left(", "right(")} AS t FROM (SELECT pair, form, pos, unnest(allomorphs) AS other FROM l WHERE form IS NOT NULL) WHERE other IS NOT NULL),
 ee AS (SELECT pair, form, pos, CASE WHEN t > h THEN 'prefix' ELSE 'suffix' END AS kind, CASE WHEN t > h THEN left(form, length(form) - t) ELSE substr(form, h + 1) END AS remove,
   CASE WHEN t > h THEN left(other, length(other) - t) ELSE substr(other, h + 1) END AS add_ FROM ed)"""
 ALIGN = """t0 AS (SELECT DISTINCT pair, verse, {stem} AS stem FROM w), s0 AS (SELECT DISTINCT pair, verse, word AS source FROM s),
