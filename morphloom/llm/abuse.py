@@ -313,7 +313,8 @@ def labelled_bags(documents: DataFrame, votes: DataFrame, known: Lexicon, sample
     last = live_rows(votes.select("doc_id", "annotator", "voted_at", "flagged"), ["doc_id", "annotator"], "voted_at").filter(F.col("flagged").isNotNull())
     counted = last.groupBy("doc_id").agg(F.sum(F.when(F.col("flagged") == 1, 1).otherwise(0)).alias("yes"), F.count(F.lit(1)).alias("votes"))
     chosen = counted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "yes", "votes")
+    # at most ``sample`` rows of three numbers are broadcast, so the texts are not exchanged
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "yes", "votes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
