@@ -69,7 +69,8 @@ def dictionary_size(dictionary: DataFrame) -> DataFrame:
     """(entries, references, vernaculars, ambiguous): the size of a dictionary and its references with several counterparts."""
     per = dictionary.distinct().groupBy("reference").agg(F.countDistinct("vernacular").alias("n"))
     left = per.agg(F.count(F.lit(1)).alias("references"), F.sum("n").alias("entries"), F.sum((F.col("n") > 1).cast("int")).alias("ambiguous"))
-    return left.join(F.broadcast(dictionary.agg(F.countDistinct("vernacular").alias("vernaculars")))).select("entries", "references", "vernaculars", "ambiguous")
+    vernaculars = dictionary.agg(F.countDistinct("vernacular")).scalar()
+    return left.select("entries", "references", vernaculars.alias("vernaculars"), "ambiguous")
 
 
 def first_links(links: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -50,8 +50,8 @@ def lift(rows: DataFrame, item: str, feature: str, base_rows: DataFrame, support
     items = rows.groupBy(item).agg(F.count(F.lit(1)).alias("n_item"))
     base = base_rows.filter(F.col(feature).isNotNull()).groupBy(feature).agg(F.count(F.lit(1)).alias("n_base"))
     total = base.agg(F.sum("n_base").alias("n_all"))
-    joined = per.join(items, item).join(base, feature).join(F.broadcast(total))
-    scored = joined.withColumn("share", F.col("n") / F.col("n_item")).withColumn("lift", F.col("share") / (F.col("n_base") / F.col("n_all")))
+    joined = per.join(items, item).join(base, feature)
+    scored = joined.withColumn("share", F.col("n") / F.col("n_item")).withColumn("lift", F.col("share") / (F.col("n_base") / total.scalar()))
     gated = scored.filter((F.col("n") >= support) & (F.col("share") >= share) & (F.col("lift") >= least))
     order = Window.partitionBy(item).orderBy(F.round("lift", 2).desc(), F.desc("n"), F.asc(feature))
     return gated.withColumn("__place", F.row_number().over(order)).filter("__place = 1").select(item, feature, "n", "n_item", "share", "lift")
