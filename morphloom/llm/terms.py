@@ -72,6 +72,6 @@ def mark_terms(frequencies: DataFrame, measure: str, total: DataFrame, rare_belo
     total has one row and one column ``total`` (null in an empty table). A term of
     a very small table may be both and then has two rows.
     """
-    share = F.col(measure).cast("double") > F.lit(common_above) * F.col("total")
+    share = F.col(measure).cast("double") > F.lit(common_above) * total.scalar()
     marks = F.array_compact(F.array(F.when(F.col(measure) < rare_below, F.lit("rare")), F.when(share, F.lit("common"))))
-    return frequencies.join(F.broadcast(total)).select("term", F.explode(marks).alias("mark"))
+    return frequencies.withColumn("__marks", marks).select("term", F.explode("__marks").alias("mark"))
