@@ -113,3 +113,48 @@ def glossed_words(rows: DataFrame, keys: list[str], segmentation: str = "segment
 def latest_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last record of each key: how an append-only log of records is read."""
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("__k = 1").drop("__k")
+
+
+def dictionary_dump(spark: SparkSession, path: str, senses: int = 8) -> DataFrame:
+    """(word, pos, senses, forms): entries of a JSON-lines dictionary, one row a word: distinct parts of speech, its first senses, forms without blanks.
+
+    Lines: word, pos, senses (gloss lists), forms (form records). Order is that of file and line.
+    """
+    schema = "word string, pos string, senses array<struct<glosses:array<string>>>, forms array<struct<form:string>>"
+    rows = json_lines(spark, path, schema).filter("word is not null").withColumn("at", F.monotonically_increasing_id())
+    flat = rows.select(F.lower("word").alias("word"), "pos", "at", F.flatten(F.transform(F.coalesce("senses", F.array().cast("array<struct<glosses:array<string>>>")), lambda s: F.coalesce(s["glosses"], F.array().cast("array<string>")))).alias("g"), F.transform("forms", lambda f: f["form"]).alias("f"))
+    one = flat.groupBy("word").agg(F.array_sort(F.collect_set("pos")).alias("pos"), F.array_sort(F.collect_list(F.struct("at", "g"))).alias("s"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("f", F.array().cast("array<string>"))))).alias("forms"))
+    listed = F.slice(F.array_distinct(F.flatten(F.transform("s", lambda x: x["g"]))), 1, senses)
+    return one.select("word", "pos", listed.alias("senses"), F.filter("forms", lambda x: x.isNotNull() & ~F.contains(x, F.lit(" "))).alias("forms"))
+
+
+def key_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(term): names of the text files a JSON directory listing holds."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<struct<name:string>>")).alias("e"))
+    return rows.filter(F.col("e.name").endswith(".md")).select(F.regexp_replace("e.name", r"\.md$", "").alias("term")).distinct()
+
+
+def audio_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(target, source_id, anchor, path, licence): the assets of an audio catalog, unusable ones dropped."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<struct<target:string,source_id:string,anchor:string,path:string,licence:string>>")).alias("e")).select("e.*")
+    return rows.filter("target is not null and source_id is not null and path is not null")
+
+
+def element_counts(spark: SparkSession, path: str, buckets: dict[str, str]) -> DataFrame:
+    """(bucket, n): how often XML elements stand in files, by local name; ``buckets`` names what is counted.
+
+    Start tags are counted where the files are read; comments are left out.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?s)<!--.*?-->", "").alias("v"))
+    names = whole.select(F.explode(F.regexp_extract_all("v", F.lit(r"<(?:[\w.-]+:)?([A-Za-z_][\w.-]*)"), 1)).alias("name"))
+    table = F.create_map(*[F.lit(x) for pair in buckets.items() for x in pair])
+    return names.withColumn("bucket", F.try_element_at(table, F.col("name"))).filter("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lift_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(form, pos, gloss): entries of LIFT dictionaries; those without a form are dropped."""
+    schema = "`lexical-unit` struct<form:array<struct<text:string>>>, sense array<struct<`grammatical-info`:struct<_value:string>,gloss:array<struct<text:string>>>>"
+    df = xml_elements(spark, path, "entry", schema)
+    sense = F.try_element_at("sense", F.lit(1))
+    rows = df.select(F.try_element_at(F.col("lexical-unit.form"), F.lit(1))["text"].alias("form"), sense["grammatical-info"]["_value"].alias("pos"), F.try_element_at(sense["gloss"], F.lit(1))["text"].alias("gloss"))
+    return rows.filter("form is not null and form <> ''")

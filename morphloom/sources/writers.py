@@ -62,3 +62,20 @@ def score_card(df: DataFrame) -> DataFrame:
     """``df`` with columns card (JSON with sorted members) and hash (the first 16 digits of its SHA-256)."""
     card = F.to_json(F.struct(*sorted(df.columns)))
     return df.withColumn("card", card).withColumn("hash", F.substring(F.sha2(card, 256), 1, 16))
+
+
+def nested_entries(changes: DataFrame) -> DataFrame:
+    """(entry, lexeme_form, senses, pos): accepted lexical changes as nested entries; a missing form is the entry itself.
+
+    changes: (op, key, gloss, pos).
+    """
+    rows = changes.filter(F.col("op").startswith("lexical."))
+    senses = F.array_sort(F.collect_set(F.when(F.col("op") == "lexical.sense.create", F.col("gloss"))))
+    form = F.max(F.when(F.col("op") == "lexical.entry.create", F.col("key")))
+    return rows.groupBy(F.col("key").alias("entry")).agg(F.coalesce(form, F.first("key")).alias("lexeme_form"), senses.alias("senses"), F.max("pos").alias("pos"))
+
+
+def ticket_page(ticket: str, pair: str, kind: str, status: str, context: str, options: str) -> Column:
+    """A ticket as markdown: heading, status, context and numbered options. The arguments name columns; options is an array of texts."""
+    numbered = F.transform(F.coalesce(F.col(options), F.array().cast("array<string>")), lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(o, F.lit(""))))
+    return F.concat_ws("\n", F.concat(F.lit("# "), F.col(ticket)), F.concat_ws(" · ", pair, kind, status), F.lit(""), F.coalesce(F.col(context), F.lit("")), F.lit(""), F.array_join(numbered, "\n"))

@@ -73,3 +73,27 @@ def test_sinks(spark, tmp_path):
     writers.write_json_lines(df, str(tmp_path / "j"), ["target"])
     assert spark.read.json(str(tmp_path / "j")).count() == 1
     assert readers.latest_by(spark.createDataFrame([("a", 1), ("a", 2)], "k string, o int"), ["k"], "o").collect()[0].o == 2
+
+
+def test_dictionaries_catalogs_and_inventories(spark, tmp_path):
+    dump = readers.dictionary_dump(spark, lines(tmp_path / "k.jsonl", '{"word": "Casa", "pos": "noun", "senses": [{"glosses": ["house", "home"]}], "forms": [{"form": "casas"}, {"form": "la casa"}]}\n{"word": "casa", "pos": "verb", "senses": [{"glosses": ["house"]}, {}]}\n'))
+    assert [(r.word, r.pos, r.senses, r.forms) for r in dump.collect()] == [("casa", ["noun", "verb"], ["house", "home"], ["casas"])]
+    terms = readers.key_terms(spark, lines(tmp_path / "t.json", '[{"name": "grace.md"}, {"name": "x.txt"}, {"name": "grace.md"}]'))
+    assert [r.term for r in terms.collect()] == ["grace"]
+    catalog = readers.audio_catalog(spark, lines(tmp_path / "c.json", '[{"target": "swh", "source_id": "s", "path": "a.wav"}, {"target": "x"}]'))
+    assert catalog.count() == 1
+    xml = lines(tmp_path / "g.xml", "<a:Root><!-- <LexEntry/> --><LexEntry id='1'><Sense/></LexEntry><n:LexEntry/><Other/></a:Root>")
+    assert {tuple(r) for r in readers.element_counts(spark, xml, {"LexEntry": "entries", "Sense": "senses"}).collect()} == {("entries", 2), ("senses", 1)}
+
+
+def test_lift_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("kata", "cat & dog", "noun"), ("x", None, None)], "form string, gloss string, pos string")
+    writers.write_entries(df.coalesce(1), writers.lift_entry(F.col("form"), F.col("gloss"), F.col("pos")), str(tmp_path / "l"), "lift")
+    assert {tuple(r) for r in readers.lift_entries(spark, str(tmp_path / "l")).collect()} == {("kata", "noun", "cat & dog"), ("x", "", "?")}
+
+
+def test_nested_entries_and_pages(spark):
+    changes = spark.createDataFrame([("lexical.entry.create", "kata", None, "noun"), ("lexical.sense.create", "kata", "cat", None), ("lexical.sense.create", "mbwa", "dog", None), ("x", "y", None, None)], "op string, key string, gloss string, pos string")
+    assert {(r.entry, r.lexeme_form, tuple(r.senses), r.pos) for r in writers.nested_entries(changes).collect()} == {("kata", "kata", ("cat",), "noun"), ("mbwa", "mbwa", ("dog",), None)}
+    t = spark.createDataFrame([("t1", "p", "pos", "open", None, ["a?", None])], "id string, pair string, type string, status string, ctx string, o array<string>")
+    assert t.select(writers.ticket_page("id", "pair", "type", "status", "ctx", "o")).collect()[0][0] == "# t1\np · pos · open\n\n\n\n1. a?\n2. "
