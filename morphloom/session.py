@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -40,6 +41,26 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove, spark)
+    _WRITTEN.append(path)
+    return path
+
+
+def _remove(spark: SparkSession) -> None:
+    """Remove what ``scratch`` handed out, as far as the JVM still answers."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _WRITTEN:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; the folder's owner cleans up then
+        pass
+
+
 def materialise(df: DataFrame, name: str = "stage", by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -47,7 +68,7 @@ def materialise(df: DataFrame, name: str = "stage", by: list[str] | None = None)
     executor. ``by`` range-sorts nothing; it only names partition columns.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if by:
         writer = writer.partitionBy(*by)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from morphloom.operators.ledger import route_status
-from morphloom.session import shared_folder
+from morphloom.session import scratch
 
 
 def ledger_stream(ops: DataFrame) -> DataFrame:
@@ -32,7 +30,7 @@ def windowed_counts(ops: DataFrame, time: str = "ts", width: str = "1 hour", lat
 
 def to_table(stream: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
     """Run a stream to its present end into the in-memory table ``name``; its checkpoint, in the shared folder, is of this run only."""
-    where = f"{shared_folder(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    where = scratch(stream.sparkSession, f"stream-{name}")
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
