@@ -343,16 +343,21 @@ def learn(documents: DataFrame, votes: DataFrame, terms: DataFrame, languages: D
     return Model(weights, bias, known)
 
 
-def score_documents(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """(key, score): the noisy-or over all sentences of the whole text; 0 for a null, empty or wordless one."""
+def score_documents(documents: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns of ``keep``, score): the noisy-or over all sentences of the whole text; 0 for a null, empty or wordless one.
+
+    One row for each row of ``documents``, repeated ones included.
+    """
     weights, bias, known = model
+    rows = documents.select(F.col("text").alias("__text"), key, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [noisy_or(sentence_scores(*features(t.as_py(), known), weights, bias)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[key, "score"])
+            scores = [noisy_or(sentence_scores(*features(t.as_py(), known), weights, bias)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[key, *keep, "score"])
 
-    return documents.select(key, "text").mapInArrow(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, score double")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return rows.mapInArrow(run, f"{kinds}, score double")
 
 
 def locate_sentences(documents: DataFrame, model: Model, least: float = THRESHOLD, key: str = "doc_id") -> DataFrame:

@@ -106,8 +106,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     """(source, documents, flagged, rate): the share of cases in every source; a null source is one of its own."""
-    documents = table(spark, folder, "documents")
-    scored = p8_scores(spark, folder).join(documents.select("doc_id", "source"), "doc_id")
+    scored = abuse.score_documents(table(spark, folder, "documents"), _abuse_model(spark, folder), keep=("source",))
     flagged = F.sum(F.when(F.col("score") >= abuse.THRESHOLD, 1).otherwise(0)).alias("flagged")
     return scored.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), flagged).withColumn("rate", F.round(F.col("flagged") / F.col("documents"), 6))
 
