@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def class_votes(sequence: DataFrame, keys: list[str], row: list[str], position: str, word: str, nouns: DataFrame, markers: DataFrame) -> DataFrame:
@@ -94,26 +99,41 @@ def by_priority(sources: list[DataFrame], keys: list[str], value: str) -> DataFr
     return rows.withColumn("__k", F.row_number().over(order)).filter("__k = 1").select(*keys, value)
 
 
-def carve(nouns: DataFrame, keys: list[str], least: int = 3, rounds: int = 20) -> DataFrame:
+def carve(nouns: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """(keys, environment, noun): exceptions carved into the environments that explain most of what is left, the largest first.
 
     Environments are the first letter if it is an a, and the last three and two
-    letters. Each round takes every key's largest environment (ties: the smallest
-    name) and its nouns, while it has at least ``least``. Every round's result is
-    written to the shared folder.
+    letters. Each key's largest environment (ties: the smallest name) takes its
+    nouns, again and again until none has ``least`` left. Nouns with the same
+    environments go together, so each key's sets of environments with their counts
+    are walked by themselves: as many as there are endings, however many the nouns.
     """
-    from morphloom.session import materialise
-
     envs = F.array_compact(F.array(F.when(F.col("noun").startswith("a"), "a-"), F.when(F.length("noun") >= 3, F.concat(F.lit("-"), F.expr("right(noun, 3)"))), F.when(F.length("noun") >= 2, F.concat(F.lit("-"), F.expr("right(noun, 2)")))))
-    left = materialise(nouns.select(*keys, "noun").distinct().withColumn("environment", F.explode(envs)), "carve")
-    taken = None
-    for _ in range(rounds):
-        counted = left.groupBy(*keys, "environment").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-        order = Window.partitionBy(*keys).orderBy(F.desc("n"), "environment")
-        best = counted.withColumn("__k", F.row_number().over(order)).filter("__k = 1").select(*keys, "environment")
-        got = materialise(left.join(best, [*keys, "environment"], "left_semi"), "carved")
-        if got.limit(1).count() == 0:
-            break
-        taken = got if taken is None else taken.unionByName(got)
-        left = materialise(left.join(got.select(*keys, "noun"), [*keys, "noun"], "left_anti"), "carve")
-    return (left.limit(0) if taken is None else taken).select(*keys, "environment", "noun")
+    listed = nouns.select(*keys, "noun").distinct().withColumn("__envs", envs).filter(F.size("__envs") > 0)
+    sets = listed.groupBy(*keys, "__envs").agg(F.count(F.lit(1)).alias("n"))
+
+    def greedy(frame):
+        of, left, taken = {}, Counter(), {}
+        for i, (names, n) in enumerate(zip(frame["__envs"], frame["n"], strict=True)):
+            for name in names:
+                of.setdefault(name, []).append(i)
+                left[name] += int(n)
+        heap = [(-n, name) for name, n in left.items()]
+        heapq.heapify(heap)
+        while heap:
+            n, name = heapq.heappop(heap)
+            if left[name] < least:
+                continue
+            if -n != left[name]:
+                heapq.heappush(heap, (-left[name], name))
+                continue
+            for i in of[name]:
+                if i not in taken:
+                    taken[i] = name
+                    for other in frame["__envs"].iat[i]:
+                        left[other] -= int(frame["n"].iat[i])
+        return pd.DataFrame({c: [frame[c].iat[i] for i in taken] for c in (*keys, "__envs")} | {"environment": list(taken.values())}, dtype=object)
+
+    kept = StructType([*sets.select(*keys, "__envs").schema, StructField("environment", StringType())])
+    won = sets.groupBy(*keys).applyInPandas(greedy, kept)
+    return listed.join(won, [*keys, "__envs"]).select(*keys, "environment", "noun")

@@ -99,7 +99,7 @@ def marker_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 def carved_words(spark: SparkSession, folder: str) -> DataFrame:
     nouns = r.lexicon(spark, folder).filter("pos = 'noun' and form is not null").select("pair", F.lower("form").alias("noun"))
-    return classes.carve(nouns, ["pair"], 3, 6)
+    return classes.carve(nouns, ["pair"], 3)
 
 
 def dictionary_size(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on hand-made rows whose results are known."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,20 @@ def test_classes(spark):
     assert {n for e, n in carved if e == "-asa"[0:4]} == {"casa", "masa", "tasa"} and {n for e, n in carved if e == "a-"} == {"amor", "alma", "arte"}
 
 
+def test_carving_goes_on_until_no_environment_is_left(spark):
+    words = [f"{x}{c}{v}" for c in "bcdfghjklmnprstvwxyz" for v in "eiou" for x in ("mu", "ni", "to", "be")] + ["alba", "zq"]
+    left, want = {w: [*["a-"] * w.startswith("a"), f"-{w[-3:]}"[: len(w) * 2], f"-{w[-2:]}"] for w in words}, set()
+    while left:
+        n = Counter(e for envs in left.values() for e in set(envs))
+        best = min(n, key=lambda e: (-n[e], e))
+        if n[best] < 3:
+            break
+        want |= {("p", best, w) for w, envs in left.items() if best in envs}
+        left = {w: envs for w, envs in left.items() if best not in envs}
+    assert len({e for _, e, _ in want}) == 80
+    assert rows(classes.carve(spark.createDataFrame([("p", w) for w in words], "k string, noun string"), ["k"])) == want
+
+
 def test_projection(spark):
     pivot = spark.createDataFrame([("v", 0, "Dogs", "NOUN", "nsubj", 1, {"Number": "Plur"}), ("v", 1, "eat", "VERB", "ROOT", 1, {"Tense": "Past"}), ("v", 2, "Rome", "PROPN", "obj", 1, {}), ("v", 3, "fish", "NOUN", "obj", 1, {})], "row string, i int, text string, pos string, dep string, head int, feats map<string,string>")
     target = spark.createDataFrame([("v", 0, "mbwa"), ("v", 1, "walila"), ("v", 2, "samaki"), ("v", 3, "roma")], "row string, at int, word string")
