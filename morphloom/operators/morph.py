@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from morphloom.session import materialise
 
@@ -238,6 +242,59 @@ def learn_merges(words: DataFrame, merges: int) -> list[tuple[str, str]]:
     return done
 
 
+def merged_words(words: DataFrame, keys: list[str], merges: int) -> DataFrame:
+    """(keys, word, symbols): each key's words after the merges learned from them; words: (keys, word, n), a word once a key.
+
+    The same merges, in the same order, as ``learn_merges`` finds in the words of
+    one key. Each key is learned by itself, and a merge rewrites only the words
+    that have its pair, so the number of merges costs little; one key's distinct
+    words have to fit a worker.
+    """
+
+    def learn(frame):
+        names, counts = list(frame["word"]), [int(n) for n in frame["n"]]
+        split = [list(w) for w in names]
+        total, where = Counter(), {}
+        for i, symbols in enumerate(split):
+            for pair in zip(symbols, symbols[1:], strict=False):
+                total[pair] += counts[i]
+                where.setdefault(pair, set()).add(i)
+        heap = [(-n, pair) for pair, n in total.items()]
+        heapq.heapify(heap)
+        done = 0
+        while heap and done < merges:
+            n, pair = heapq.heappop(heap)
+            if -n != total[pair]:
+                continue
+            if -n < 2:
+                break
+            done += 1
+            changed = set()
+            for i in where.pop(pair):
+                old, new = split[i], []
+                for x in old:
+                    if new and (new[-1], x) == pair:
+                        new[-1] += x
+                    else:
+                        new.append(x)
+                split[i] = new
+                for sign, symbols in ((-1, old), (1, new)):
+                    for p in zip(symbols, symbols[1:], strict=False):
+                        total[p] += sign * counts[i]
+                        changed.add(p)
+                        if sign > 0:
+                            where.setdefault(p, set()).add(i)
+            for p in changed:
+                if total[p] > 0:
+                    heapq.heappush(heap, (-total[p], p))
+        out = {k: [frame[k].iat[0]] * len(names) for k in keys}
+        return pd.DataFrame({**out, "word": names, "symbols": split}, dtype=object)
+
+    named = words.filter(F.col("word").isNotNull()).select(*keys, "word", "n")
+    kept = StructType([*named.select(*keys, "word").schema, StructField("symbols", ArrayType(StringType()))])
+    return named.groupBy(*keys).applyInPandas(learn, kept)
+
+
 def merge_symbols(symbols: Column, a: str, b: str) -> Column:
     """Symbols with each ``a`` before a ``b`` joined to it, from left to right."""
     step = lambda acc, x: F.when(

@@ -74,8 +74,7 @@ def parse_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bpe_merges(spark: SparkSession, folder: str) -> DataFrame:
-    merges = morph.learn_merges(r.vocabulary(spark, folder), 12)
-    words = r.vocabulary(spark, folder).select("pair", "word", morph.apply_merges(F.col("word"), merges).alias("symbols"))
+    words = morph.merged_words(r.vocabulary(spark, folder), ["pair"], 300)
     return words.select("pair", "word", F.array_join("symbols", " ").alias("symbols"))
 
 

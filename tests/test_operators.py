@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from morphloom.functions import text as fx
 from morphloom.operators import align, assess, audio, bilingual, classes, detect, gates, gold, ledger, morph, paradigm, project, review, sequence, stats
+from morphloom.plans import grammar
 
 PARALLEL = [("r1", ["god", "love"], ["tanri", "sevgi"]), ("r2", ["god", "world"], ["tanri", "dunya"]), ("r3", ["love", "world"], ["sevgi", "dunya"])]
 
@@ -118,6 +119,23 @@ def test_merges(spark):
     assert column(spark, morph.apply_merges(F.lit("lowest"), merges), x=1)[-1].endswith("est")
 
 
+def test_merges_are_learned_from_each_key_alone(spark):
+    words = {"p": {"low": 5, "lower": 2, "newest": 6, "widest": 3, "aaaa": 2, "once": 1, "": 4}, "q": {"banana": 3, "bandana": 2, "nab": 1}}
+    df = spark.createDataFrame([(k, w, n) for k, v in words.items() for w, n in v.items()], "k string, word string, n int")
+    for most in (4, 300):
+        want = set()
+        for k in words:
+            one = df.filter(F.col("k") == k)
+            merges = morph.learn_merges(one.select("word", "n"), most)
+            want |= {(k, r.word, tuple(r.s)) for r in one.select("word", morph.apply_merges(F.col("word"), merges).alias("s")).collect()}
+        assert {(r.k, r.word, tuple(r.symbols)) for r in morph.merged_words(df, ["k"], most).collect()} == want
+
+
+def test_bpe_query_learns_past_a_dozen_merges(spark, folder):
+    joined = grammar.bpe_merges(spark, folder).select("pair", F.explode(F.split("symbols", " ")).alias("s")).filter("length(s) > 1").groupBy("pair").agg(F.count_distinct("s").alias("n"))
+    assert joined.agg(F.max("n")).collect()[0][0] > 12
+
+
 def test_near_forms_equal_all_pairs(spark):
     import itertools
     import random
