@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +17,13 @@ from morphloom.session import materialise
 PLACES = {"labial": "pbmfvw", "coronal": "tdnszlrj", "dorsal": "kgxŋqh"}
 
 
-def peel(words: DataFrame, known: DataFrame, affixes: DataFrame, keys: list[str], depth: int = 5, stem: int = 2, longest: int = 6) -> DataFrame:
+def peel(words: DataFrame, known: DataFrame, affixes: DataFrame, keys: list[str], depth: int | None = 5, stem: int = 2, longest: int = 6) -> DataFrame:
     """(keys, word, stem, peeled, known): words after taking off known edges, the longest first, until a known word is left.
 
     words, known: (keys, word), affixes: (keys, side, affix). At most ``depth``
-    edges; of equally long ones the prefix goes. Each round is two equi-joins on
-    the words still unexplained.
+    edges, or without one as many as there are; of equally long ones the prefix
+    goes. Each round is two equi-joins on the words still unexplained, and is
+    written to the shared folder; the first round that moves nothing is the last.
     """
     listed = known.select(*keys, F.col("word").alias("stem")).distinct().withColumn("__known", F.lit(True))
     inventory = affixes.filter(F.col("affix") != "").select(*keys, "side", "affix").distinct()
@@ -30,7 +32,8 @@ def peel(words: DataFrame, known: DataFrame, affixes: DataFrame, keys: list[str]
         return state.join(listed, [*keys, "stem"], "left").withColumn("known", F.coalesce("__known", F.lit(False))).drop("__known")
 
     state = judge(words.select(*keys, "word").distinct().withColumns({"stem": F.col("word"), "peeled": F.lit(0)}))
-    for _ in range(depth):
+    state = materialise(state, "peel")
+    for turn in itertools.count(1) if depth is None else range(1, depth + 1):
         open_ = state.filter(~F.col("known"))
         cut = morph.edges(open_.select(*keys, "stem").distinct(), keys, "stem", longest, stem)
         # the stem column of edges is the rest; word is what was cut
@@ -40,6 +43,9 @@ def peel(words: DataFrame, known: DataFrame, affixes: DataFrame, keys: list[str]
         moved = state.join(best, [*keys, "stem"], "left")
         go = ~F.col("known") & F.col("__rest").isNotNull()
         state = judge(moved.select(*keys, "word", F.when(go, F.col("__rest")).otherwise(F.col("stem")).alias("stem"), (F.col("peeled") + go.cast("int")).alias("peeled")))
+        state = materialise(state, "peel")
+        if state.filter(F.col("peeled") == turn).limit(1).count() == 0:
+            break
     return state.select(*keys, "word", "stem", "peeled", "known")
 
 

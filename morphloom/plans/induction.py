@@ -23,11 +23,12 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def peeled_words(spark: SparkSession, folder: str) -> DataFrame:
-    return induce.peel(r.vocabulary(spark, folder), _known(spark, folder), _edges(spark, folder), ["pair"], 3)
+    return induce.peel(r.vocabulary(spark, folder), _known(spark, folder), _edges(spark, folder), ["pair"], 5)
 
 
 def synthesis(spark: SparkSession, folder: str) -> DataFrame:
-    return induce.synthesis(r.vocabulary(spark, folder), peeled_words(spark, folder), ["pair"]).withColumn("index", F.round("index", 6))
+    bare = induce.peel(r.vocabulary(spark, folder), _known(spark, folder), _edges(spark, folder), ["pair"], None)
+    return induce.synthesis(r.vocabulary(spark, folder), bare, ["pair"]).withColumn("index", F.round("index", 6))
 
 
 def unexplained_mass(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,6 +23,19 @@ def test_peel_takes_the_longest_edge_until_a_known_word_is_left(spark):
     assert induce.peel(known.limit(0), known, affixes(spark), ["k"]).count() == 0
 
 
+def test_peeling_reaches_the_depth_asked_for(spark, monkeypatch):
+    many, known = words(spark, "aaaaaaawalk", "aaaawalk"), words(spark, "walk")
+    deep = {None: {("aaaaaaawalk", "walk", 7, True), ("aaaawalk", "walk", 4, True)}, 5: {("aaaaaaawalk", "aawalk", 5, False), ("aaaawalk", "walk", 4, True)}}
+    for depth, want in deep.items():
+        assert rows(induce.peel(many, known, affixes(spark), ["k"], depth), "word", "stem", "peeled", "known") == want
+    monkeypatch.setattr(induction.r, "vocabulary", lambda *_: many.withColumnRenamed("k", "pair"))
+    monkeypatch.setattr(induction, "_known", lambda *_: known.withColumnRenamed("k", "pair"))
+    monkeypatch.setattr(induction, "_edges", lambda *_: affixes(spark).withColumnRenamed("k", "pair"))
+    assert rows(induction.peeled_words(spark, ""), "word", "peeled") == {("aaaaaaawalk", 5), ("aaaawalk", 4)}
+    assert rows(induction.synthesis(spark, ""), "index") == {(6.5,)}
+    assert rows(induction.unexplained_mass(spark, ""), "stacked") == {(0.5,)}
+
+
 def test_synthesis_and_what_is_left(spark):
     vocabulary = words(spark, "walk", "niwalk", "zzzz", "papala")
     peeled = induce.peel(vocabulary, words(spark, "walk"), affixes(spark), ["k"])
