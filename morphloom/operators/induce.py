@@ -226,41 +226,60 @@ def until_dry(step: Callable[[int], int], rounds: int = 12, dry: int = 2) -> lis
     return got
 
 
-def cotrain(vocabulary: DataFrame, roots: DataFrame, affixes: DataFrame, table: DataFrame, keys: list[str], cycles: int = 6, least_prob: float = 0.3, least_count: int = 2) -> tuple[DataFrame, list[float]]:
+def cotrain(vocabulary: DataFrame, roots: DataFrame, affixes: DataFrame, table: DataFrame | Callable[[DataFrame], DataFrame], keys: list[str], cycles: int = 6, least_prob: float = 0.3, least_count: int = 2, most_readings: float = 8.0) -> tuple[DataFrame, list[float]]:
     """(roots, coverage by cycle): roots added as long as they raise coverage.
 
-    Each cycle parses the vocabulary, strips one known edge off the words without
-    reading, proposes what is left as a root if the gloss table is sure enough of
-    the word, and keeps those with which a word parses. Stops at the first cycle
-    that does not raise coverage. keys is one column; roots: (key, form, gloss),
-    affixes: (key, form, gloss, kind), table: (key, target, source, prob, n).
+    Each cycle parses the vocabulary, aligns anew over its readings, and proposes
+    what the longest known prefix and suffix leave of each word without reading
+    (the word itself if it has neither), if the gloss table is sure enough of the
+    word. Roots with which a word parses are kept, in each key that they raise the
+    coverage of with at most ``most_readings`` readings a parsed word; other keys
+    are finished. Stops when no key goes on or no word is left to propose. keys is one column; roots: (key, form,
+    gloss), affixes: (key, form, gloss, kind). table: (key, target, source, prob,
+    n), or what makes it of the readings (space, word, analysis, line, forms).
     """
     key = keys[0]
     spaced = lambda df: df.withColumnRenamed(key, "space")
     fixes = spaced(affixes).select("space", "form", "gloss", "kind")
+    longest = fixes.agg(F.max(F.length("form"))).collect()[0][0] or 1
     model = materialise(spaced(roots).select("space", "form", "gloss"), "roots")
-    sure = spaced(table).filter((F.col("prob") >= least_prob) & (F.col("n") >= least_count)).select("space", F.col("target").alias("word"), F.col("source").alias("gloss"))
-    words = spaced(vocabulary)
+    words = materialise(spaced(vocabulary), "words")
 
-    def share(parses: DataFrame) -> float:
-        got = assess.coverage(words, parses, ["space"]).agg(F.sum("parsed") / F.sum("types")).collect()[0][0]
-        return float(got or 0.0)
+    def judged(parses: DataFrame) -> DataFrame:
+        return materialise(assess.coverage(words, parses, ["space"]).join(assess.ambiguity(parses, ["space"]), ["space"], "left").select("space", "types", "parsed", "mean"), "judged")
+
+    def share(state: DataFrame) -> float:
+        return float(state.agg(F.sum("parsed") / F.sum("types")).collect()[0][0] or 0.0)
+
+    def bare(lost: DataFrame, side: str) -> DataFrame:
+        edge = fixes.filter(F.col("kind") == side).select("space", F.col("form").alias("affix"))
+        cut = morph.longest_edge(lost, ["space"], "form", edge, side, 2, longest).select("space", F.col("word").alias("form"), F.col("stem").alias("__rest"))
+        return lost.join(cut, ["space", "form"], "left").withColumn("form", F.coalesce("__rest", "form")).drop("__rest")
 
     parses = materialise(morph.parse_words(words, "space", "word", model, fixes), "parses")
-    seen = [share(parses)]
+    state = judged(parses)
+    seen, active = [share(state)], state.select("space")
     for _ in range(cycles):
-        lost = words.select("space", "word").join(parses.select("space", "word").distinct(), ["space", "word"], "left_anti").join(sure, ["space", "word"])
-        edge = fixes.filter("kind in ('prefix', 'suffix')").select("space", F.col("kind").alias("side"), F.col("form").alias("affix")).distinct()
-        stripped = morph.edges(lost.select("space", "word", "gloss"), ["space"], "word", 6, 2).join(edge, ["space", "side", "affix"]).select("space", F.col("stem").alias("form"), "gloss")
-        whole = lost.select("space", F.col("word").alias("form"), "gloss")
-        proposed = stripped.unionByName(whole).groupBy("space", "form").agg(F.min("gloss").alias("gloss")).join(model.select("space", "form"), ["space", "form"], "left_anti")
-        wider = materialise(model.unionByName(proposed), "roots")
-        again = materialise(morph.parse_words(words, "space", "word", wider, fixes), "parses")
-        now = share(again)
-        if now <= seen[-1]:
+        unread = materialise(words.select("space", "word").join(active, "space", "left_semi").join(parses.select("space", "word").distinct(), ["space", "word"], "left_anti"), "unread")
+        if unread.limit(1).count() == 0:
+            break
+        glosses = spaced(table(parses) if callable(table) else table)
+        sure = glosses.filter((F.col("prob") >= least_prob) & (F.col("n") >= least_count)).select("space", F.col("target").alias("word"), F.col("source").alias("gloss"), "prob")
+        lost = unread.join(sure, ["space", "word"])
+        left = bare(bare(lost.withColumn("form", F.col("word")), "prefix"), "suffix").filter(F.length("form") >= 2)
+        best = left.groupBy("space", "form").agg(F.min(F.struct(-F.col("prob"), "gloss"))["gloss"].alias("gloss"))
+        proposed = materialise(best.join(model.select("space", "form"), ["space", "form"], "left_anti"), "proposed")
+        if proposed.limit(1).count() == 0:
+            break
+        again = materialise(morph.parse_words(words, "space", "word", model.unionByName(proposed), fixes), "parses")
+        now = judged(again)
+        rose = now.join(state.select("space", F.col("parsed").alias("before")), "space").filter((F.col("parsed") > F.col("before")) & (F.col("mean") <= most_readings))
+        active = materialise(rose.join(active, "space", "left_semi").select("space"), "active")
+        if active.limit(1).count() == 0:
             break
         used = again.select("space", F.explode(F.split("forms", "-")).alias("form")).distinct()
-        model = materialise(model.unionByName(proposed.join(used, ["space", "form"], "left_semi")), "roots")
-        parses = again
-        seen.append(now)
+        model = materialise(model.unionByName(proposed.join(active, "space", "left_semi").join(used, ["space", "form"], "left_semi")), "roots")
+        kept = lambda new, old: new.join(active, "space", "left_semi").unionByName(old.join(active, "space", "left_anti"))
+        parses, state = materialise(kept(again, parses), "parses"), materialise(kept(now, state), "judged")
+        seen.append(share(state))
     return model.withColumnRenamed("space", key), seen

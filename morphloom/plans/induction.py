@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from morphloom.operators import induce, morph
+from morphloom.operators import align, induce, morph
 from morphloom.plans import relations as r
 from morphloom.plans.corpus import C
 from morphloom.plans.corpus import _candidate_table as candidates
 from morphloom.plans.grammar import EDGE
 from morphloom.plans.relations import A, L, M, V, W, with_
+from morphloom.session import materialise
 
 
 def _known(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,8 +86,17 @@ def related_verses(spark: SparkSession, folder: str) -> DataFrame:
 def cotrained_roots(spark: SparkSession, folder: str) -> DataFrame:
     roots = r.lexicon(spark, folder).filter("form is not null").select("pair", F.lower("form").alias("form"), "gloss")
     fixes = r.affixes(spark, folder).filter("form <> ''").select("pair", F.lower("form").alias("form"), "gloss", "kind")
-    table = candidates(spark, folder).filter("rank = 1").select(F.col("space").alias("pair"), F.lower("target").alias("target"), "source", "prob", "n")
-    return induce.cotrain(r.vocabulary(spark, folder), roots, fixes, table, ["pair"], 2)[0]
+    name = lambda df: df.select(F.col("pair").alias("space"), F.col("verse").alias("row"), "at", "word")
+    source, target = materialise(name(r.source_words(spark, folder)), "source"), materialise(name(r.verse_words(spark, folder)), "target")
+
+    def table(parses: DataFrame) -> DataFrame:
+        read = parses.filter("analysis = 1").select("space", "word", F.split("forms", "-").alias("parts"))
+        parts = target.join(read, ["space", "word"], "left").select("space", "row", "at", F.posexplode(F.coalesce("parts", F.array("word"))).alias("i", "word"))
+        morphs = parts.select("space", "row", (F.col("at") * 1000 + F.col("i")).alias("at"), "word")
+        scores = align.dice_scores(source, morphs, "space", "row", "word")
+        return align.best_glosses(align.gloss_table(align.dice_links(source, morphs, scores))).withColumnRenamed("space", "pair")
+
+    return induce.cotrain(r.vocabulary(spark, folder), roots, fixes, table, ["pair"])[0]
 
 
 AF = "af AS (SELECT DISTINCT pair, kind AS side, lower(form) AS affix FROM a WHERE form <> '' AND kind IN ('prefix', 'suffix'))"

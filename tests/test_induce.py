@@ -94,6 +94,22 @@ def test_cotraining_adds_only_roots_that_raise_coverage(spark):
     assert seen == [0.25, 0.75] and {"walk", "zuzu"} <= {r.form for r in got.collect()} and "qqq" not in {r.form for r in got.collect()}
 
 
+def test_cotraining_aligns_anew_and_is_guarded_in_each_key(spark):
+    listed = [("p", w) for w in ("niwalk", "nizuzus", "qqq", "kkk")] + [("q", w) for w in ("walk", "zzz")]
+    vocabulary = spark.createDataFrame([(k, w, 2) for k, w in listed], "k string, word string, n int")
+    roots = spark.createDataFrame([("p", "walk", "walk"), *[("q", "walk", f"g{i}") for i in range(9)]], "k string, form string, gloss string")
+    fixes = spark.createDataFrame([("p", "ni", "1SG", "prefix"), ("p", "s", "PL", "suffix")], "k string, form string, gloss string, kind string")
+
+    def table(parses):
+        known = {r.word for r in parses.collect()}
+        sure = [("p", "nizuzus", "sleep")] if "nizuzus" not in known else [("p", "qqq", "dream")]
+        return spark.createDataFrame([(*x, 0.9, 5) for x in [*sure, ("q", "zzz", "nap")]], "k string, target string, source string, prob double, n int")
+
+    got, seen = induce.cotrain(vocabulary, roots, fixes, table, ["k"], most_readings=4.5)
+    assert {tuple(r) for r in got.filter("form != 'walk'").collect()} == {("p", "zuzu", "sleep"), ("p", "qqq", "dream")}
+    assert seen == [2 / 6, 3 / 6, 4 / 6]
+
+
 def test_queries_run(spark, folder):
     for name in set(induction.QUERIES) - set(induction.SQL) - {"cotrained_roots"}:
         assert induction.QUERIES[name](spark, folder).count() >= 0, name
