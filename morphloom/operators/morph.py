@@ -72,6 +72,31 @@ def affix_candidates(words: DataFrame, roots: DataFrame, keys: list[str], longes
     return best.groupBy(*keys, "side", "residue").agg(F.sum("n").alias("n"))
 
 
+def open_residues(words: DataFrame, roots: DataFrame, affixes: DataFrame, keys: list[str], longest: int = 4, root: int = 3, vowels: str = "aeiouáéíóú") -> DataFrame:
+    """(keys, side, residue, n): what is left of words beside or inside their longest known root, without known affixes, by token frequency.
+
+    words: (keys, word, n), roots: (keys, root), affixes: (keys, side, residue).
+    side is suffix, prefix or infix, in this order for roots of one length. An
+    infix of two or three characters stands behind the first consonant of a root
+    of at least four. The longest root decides over all sides, whether its
+    residue is of a length to be counted or not.
+    """
+    size = F.length("word")
+    cut = words.filter(size > root).withColumn("__cut", F.explode(F.sequence(F.lit(root), size - 1)))
+    split = lambda rank, side, base, rest: F.struct(F.lit(rank).alias("rank"), F.lit(side).alias("side"), F.expr(base).alias("root"), F.expr(rest).alias("residue"))
+    inside = (F.col("__cut") >= 4) & (F.instr(F.lit(vowels), F.expr("left(word, 1)")) == 0)
+    options = F.array(
+        split(0, "suffix", "left(word, __cut)", "substr(word, __cut + 1)"),
+        split(1, "prefix", "right(word, __cut)", "left(word, length(word) - __cut)"),
+        F.when(inside, split(2, "infix", "concat(left(word, 1), right(word, __cut - 1))", "substr(word, 2, length(word) - __cut)")),
+    )
+    known = cut.withColumn("e", F.explode(F.array_compact(options))).select(*keys, "word", "n", "e.*").join(roots.select(*keys, "root").distinct(), [*keys, "root"])
+    order = Window.partitionBy(*keys, "word").orderBy(F.length("root").desc(), "rank")
+    best = known.withColumn("__k", F.row_number().over(order)).filter("__k = 1")
+    fits = F.when(F.col("side") == "infix", F.length("residue").between(2, 3)).otherwise(F.length("residue") <= longest)
+    return best.filter(fits).join(affixes.select(*keys, "side", "residue").distinct(), [*keys, "side", "residue"], "left_anti").groupBy(*keys, "side", "residue").agg(F.sum("n").alias("n"))
+
+
 def skeleton(form: Column, vowels: str = "aeiouáéíóú") -> Column:
     """A form without its vowels."""
     return F.translate(form, vowels, "")

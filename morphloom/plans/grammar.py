@@ -28,6 +28,12 @@ def residues(spark: SparkSession, folder: str) -> DataFrame:
     return morph.affix_candidates(r.vocabulary(spark, folder), roots, ["pair"])
 
 
+def open_residues(spark: SparkSession, folder: str) -> DataFrame:
+    roots = r.lexicon(spark, folder).filter("form is not null").select("pair", F.lower("form").alias("root"))
+    known = r.affixes(spark, folder).filter("form <> ''").select("pair", F.col("kind").alias("side"), F.lower("form").alias("residue"))
+    return morph.open_residues(r.vocabulary(spark, folder), roots, known, ["pair"])
+
+
 def affix_families(spark: SparkSession, folder: str) -> DataFrame:
     return morph.harmony_families(r.affixes(spark, folder), ["pair"])
 
@@ -274,7 +280,7 @@ FROM (SELECT pair, form, count(DISTINCT pos) AS n FROM l WHERE form IS NOT NULL
 }
 
 QUERIES = {f.__name__: f for f in (
-    edge_affixes, signature_affixes, longest_suffix, residues, affix_families, stem_classes, near_affixes, near_roots, environments, affix_slots, parsed_words, parse_coverage, bpe_merges,
+    edge_affixes, signature_affixes, longest_suffix, residues, open_residues, affix_families, stem_classes, near_affixes, near_roots, environments, affix_slots, parsed_words, parse_coverage, bpe_merges,
     reading_coverage, reading_ambiguity, reading_roundtrip, reading_overgeneration, reading_regression, boundary_scores, dead_affixes, tolerated_allomorphy, grammar_bits, corpus_bits,
     worst_constructs, ablated_root, affix_polarity, reduplication, infix_pairs, syllables, unexplained_words, homographs, feature_loci,
 )}

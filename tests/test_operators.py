@@ -212,6 +212,13 @@ def test_carving_goes_on_until_no_environment_is_left(spark):
     assert rows(classes.carve(spark.createDataFrame([("p", w) for w in words], "k string, noun string"), ["k"])) == want
 
 
+def test_open_residues_have_infixes_and_leave_out_known_affixes(spark):
+    words = spark.createDataFrame([("p", w, 2) for w in ("sumulat", "sulatan", "nasulat", "sxulat", "akbkat", "sulatin")], "k string, word string, n int")
+    roots = spark.createDataFrame([("p", x) for x in ("sulat", "lat", "akat")], "k string, root string")
+    known = spark.createDataFrame([("p", "suffix", "in")], "k string, side string, residue string")
+    assert rows(morph.open_residues(words, roots, known, ["k"])) == {("p", "infix", "um", 2), ("p", "suffix", "an", 2), ("p", "prefix", "na", 2)}
+
+
 def test_projection(spark):
     pivot = spark.createDataFrame([("v", 0, "Dogs", "NOUN", "nsubj", 1, {"Number": "Plur"}), ("v", 1, "eat", "VERB", "ROOT", 1, {"Tense": "Past"}), ("v", 2, "Rome", "PROPN", "obj", 1, {}), ("v", 3, "fish", "NOUN", "obj", 1, {})], "row string, i int, text string, pos string, dep string, head int, feats map<string,string>")
     target = spark.createDataFrame([("v", 0, "mbwa"), ("v", 1, "walila"), ("v", 2, "samaki"), ("v", 3, "roma")], "row string, at int, word string")
