@@ -132,7 +132,7 @@ def with_look(df: DataFrame, text: str, script: str, name: str = "look") -> Data
     quick: Column = F.lit(False)
     for one in SCRIPTS:
         ranges = _ranges(one)
-        quick = quick | ((F.col(script) == one) & F.col(text).rlike(f"^[{ranges}]*( [{ranges}]+)*$") & ~F.col(text).startswith(" "))
+        quick = quick | ((F.col(script) == one) & F.col(text).rlike(f"^[{ranges}]*( [{ranges}]+)*\\z") & ~F.col(text).startswith(" "))
 
     @F.pandas_udf("string")
     def convert(texts: pd.Series, scripts: pd.Series) -> pd.Series:

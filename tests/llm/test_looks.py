@@ -47,3 +47,9 @@ def test_the_quick_check_agrees_with_python(spark):
     texts = [(c, s) for _, *both in CASES for c in both for s in ("Latn", "Cyrl")]
     df = looks.with_look(spark.createDataFrame(texts, "t string, s string"), "t", "s")
     assert [(r.t, r.s, r.look) for r in df.collect()] == [(t, s, looks.look(t, s)) for t, s in texts]
+
+
+def test_trailing_line_ends_are_converted(spark):
+    texts = [f"word{end}" for end in ("\n", "\r\n", "\u0085", " ", "")]
+    df = spark.createDataFrame([("Latn", t) for t in texts], "script string, text string")
+    assert {(r.text, r.look) for r in looks.with_look(df, "text", "script").collect()} == {(t, looks.look(t, "Latn")) for t in texts} == {(t, "word") for t in texts}
