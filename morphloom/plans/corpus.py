@@ -64,7 +64,7 @@ def gloss_links(spark: SparkSession, folder: str) -> DataFrame:
 
 def em_gloss(spark: SparkSession, folder: str) -> DataFrame:
     name = lambda df: df.select(F.col("pair").alias("space"), F.col("verse").alias("row"), "at", "word")
-    return align.em_table(name(r.source_words(spark, folder)), name(r.verse_words(spark, folder)), 3)
+    return align.em_table(name(r.source_words(spark, folder)), name(r.verse_words(spark, folder)), 5)
 
 
 def _candidate_table(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from morphloom.functions import text as fx
 from morphloom.operators import align, assess, audio, bilingual, classes, detect, gates, gold, ledger, morph, paradigm, project, review, sequence, stats
-from morphloom.plans import grammar
+from morphloom.plans import corpus, grammar
 
 PARALLEL = [("r1", ["god", "love"], ["tanri", "sevgi"]), ("r2", ["god", "world"], ["tanri", "dunya"]), ("r3", ["love", "world"], ["sevgi", "dunya"])]
 
@@ -219,6 +219,13 @@ def test_open_residues_have_infixes_and_leave_out_known_affixes(spark):
     assert rows(morph.open_residues(words, roots, known, ["k"])) == {("p", "infix", "um", 2), ("p", "suffix", "an", 2), ("p", "prefix", "na", 2)}
 
 
+def test_em_gloss_has_five_rounds(spark, folder, monkeypatch):
+    asked = []
+    monkeypatch.setattr(align, "em_table", lambda source, target, rounds=5: asked.append(rounds))
+    corpus.em_gloss(spark, folder)
+    assert asked == [5]
+
+
 def test_projection(spark):
     pivot = spark.createDataFrame([("v", 0, "Dogs", "NOUN", "nsubj", 1, {"Number": "Plur"}), ("v", 1, "eat", "VERB", "ROOT", 1, {"Tense": "Past"}), ("v", 2, "Rome", "PROPN", "obj", 1, {}), ("v", 3, "fish", "NOUN", "obj", 1, {})], "row string, i int, text string, pos string, dep string, head int, feats map<string,string>")
     target = spark.createDataFrame([("v", 0, "mbwa"), ("v", 1, "walila"), ("v", 2, "samaki"), ("v", 3, "roma")], "row string, at int, word string")
