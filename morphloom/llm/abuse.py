@@ -16,11 +16,8 @@ hash of their id; everything else is done for every document.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphloom.llm.looks import lookalikes, shows_nothing
+from morphloom.llm import grams
 from morphloom.operators.live import live_rows
 
 #: Labelled documents the model is fitted on, at most.
@@ -36,152 +33,108 @@ SAMPLE = 10_000
 #: Features are hashed to so many bits.
 BITS = 20
 #: A document with at least this score counts as a case.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 #: Gradient passes, documents a step, learning rate, shrinkage, and documents a feature must stand in.
 EPOCHS, BATCH, RATE, SHRINK, LEAST_BAGS = 12, 128, 0.35, 0.005, 3
+#: Passes after which features whose weight is 0 leave the fit.
+SCREEN = 2
 #: How often labels are estimated again with held-out scores.
-ROUNDS = 3
-
-# Signs that stand for letters inside a word.
-LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "+": "t", "£": "l", "¡": "i"})
-QUOTED = re.compile(r"„[^“”]*[“”]|“[^”]*”|«[^»]*»|‹[^›]*›|\"[^\"]*\"|‘[^’]*’")
-OPEN = re.compile(r"[„“«‹\"]")
-BREAK = re.compile(r"(?<=[.!?…])[\"”»“’)]*\s+|[\r\n  \x85]+")
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:(?:[ _.\-*·~]{1,2})[^\W\d_](?![^\W_])){2,}")
-TOKEN = re.compile(r"[^\W_]+(?:[!@$|*€+£¡'’_.\-·~]+[^\W_]+)*[$!@]*|[„“«‹\"]|[”»›]")
-LONG = re.compile(r"(.)\1{2,}")
-VOWELS = re.compile(r"[aeiouy*]")
-WIDE = {**{a: b for a, b in lookalikes("Latn").items() if b.isascii() and b.isalpha()}}
-
-
-def sentences(text: str) -> list[str]:
-    """The sentences of a text; a break inside an open quotation does not count."""
-    out: list[str] = []
-    held = ""
-    for part in BREAK.split(text):
-        held = f"{held} {part}" if held else part
-        if len(held) < 600 and OPEN.search(QUOTED.sub("", held)):
-            continue
-        if held.strip():
-            out.append(held.strip())
-        held = ""
-    if held.strip():
-        out.append(held.strip())
-    return out
+ROUNDS = 4
 
 
-def plain(text: str) -> str:
-    """Lower case without accents, invisible signs and look-alikes; spelled-out words joined."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", "".join(c for c in text if not shows_nothing(c)))
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return SPACED.sub(lambda m: re.sub(r"[ _.\-*·~]", "", m[0]), text.casefold())
+class Lexicon(NamedTuple):
+    """Seed terms and names of peoples by the hashes of their forms: sorted hashes of seeds, category and form of each, hashes of peoples."""
 
+    seeds: np.ndarray
+    labels: list[tuple[str, str]]
+    peoples: np.ndarray
 
-@lru_cache(maxsize=100_000)
-def word(token: str) -> str:
-    """One form for the spellings of a word."""
-    if token[0].isdigit() and not any(c.isalpha() for c in token):
-        return "#"
-    if not token.isascii() and any("a" <= c <= "z" for c in token):
-        token = "".join(WIDE.get(c, c) for c in token)
-    if not token.isascii() and all(c in WIDE or c.isascii() for c in token):
-        token = "".join(WIDE.get(c, c) for c in token)
-    if not token.isalpha():
-        token = re.sub(r"['’_.\-·~]", "", token.translate(LEET))
-    return LONG.sub(r"\1", token)
 
+def form_of(text: str) -> str:
+    """The one form of a term that is a single word; else its folded text."""
+    found = grams.fold(text)
+    joined = "".join(map(chr, found.tolist()))
+    return grams.word(joined) if joined else ""
 
-@lru_cache(maxsize=200_000)
-def keys(form: str) -> tuple[int, int, int]:
-    """Hashes of a word, of its consonants, and of its letters in order: alike under typing slips."""
-    bare = VOWELS.sub("", form)
-    slim = re.sub(r"(.)\1+", r"\1", bare)
-    return tuple(zlib.crc32(x.encode()) for x in (form, f"c:{slim}", f"l:{''.join(sorted(form))}"))
 
+def lexicon(terms: list[tuple[str, str, int]], names: list[str]) -> Lexicon:
+    """From (term, category, strength) rows and names of speaker communities."""
+    seeds = {form_of(term): f"{category}:{strength}" for term, category, strength in terms if term}
+    peoples = {form_of(n) for n in names if n}
+    peoples |= {p + end for p in peoples if p[-1:] != "s" for end in ("s", "ss")}
+    forms = sorted(seeds)
+    made = grams.hashes_of(forms)[:, 0]
+    order = np.argsort(made)
+    return Lexicon(made[order], [(seeds[forms[i]], forms[i]) for i in order], np.sort(grams.hashes_of(sorted(peoples))[:, 0]))
 
-class Lexicon(NamedTuple):
-    """Seed terms and names of peoples, in the forms that ``word`` makes."""
 
-    seeds: dict[str, str]
-    peoples: frozenset[str]
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """The place of each value in ``ordered``, or -1."""
+    if not len(ordered):
+        return np.full(len(values), -1)
+    place = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[place] == values, place, -1)
 
 
-def lexicon(terms: list[tuple[str, str, int]], names: list[str]) -> Lexicon:
-    """From (term, category, strength) rows and names of speaker communities."""
-    seeds: dict[str, str] = {}
-    for term, category, strength in terms:
-        if term:
-            seeds[word(plain(term))] = f"{category}:{strength}"
-    return Lexicon(seeds, frozenset(word(plain(n)) for n in names if n))
-
-
-def features(text: str | None, known: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed features, sentence of each): of every sentence of the whole text."""
-    flat: list[tuple[int, int, int]] = []
-    extra: list[int] = []
-    extra_at: list[int] = []
-    at: list[int] = []
-    people = zlib.crc32(b"<people>")
-    for number, sentence in enumerate(sentences(plain_lines(text)) if text else ()):
+class Sentences(NamedTuple):
+    """The sentences with words of a group of texts: hashed features with the sentence of each, and the words they are of."""
+
+    parts: list[tuple[np.ndarray, np.ndarray]]
+    words: grams.Words
+
+
+ONE, TWO, THREE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _seed_features(words: grams.Words, seed: np.ndarray, known: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Two features for each seed term: its category and itself, each with whether it stands in a quotation."""
+    hits = np.flatnonzero(seed >= 0)
+    signs, out = [chr(c) for c in words.codes[words.marks].tolist()], []
+    low, high = np.searchsorted(words.marks_at, words.at[hits]), np.searchsorted(words.marks, words.starts[hits])
+    for p, i, j in zip(seed[hits].tolist(), low.tolist(), high.tolist(), strict=True):
         quoted = False
-        for token in TOKEN.findall(sentence):
-            if token in "„“«‹\"”»›":
-                quoted = not quoted if token == '"' else token in "„“«‹" and not quoted
-                extra.append(zlib.crc32(b"<quote>"))
-                extra_at.append(number)
-                continue
-            form = word(token)
-            if form in known.peoples or form.rstrip("s") in known.peoples:
-                flat.append((people, people, people))
-            else:
-                flat.append(keys(form))
-            at.append(number)
-            seed = known.seeds.get(form)
-            if seed:
-                extra += [zlib.crc32(f"s:{seed}:{quoted}".encode()), zlib.crc32(f"s:{form}:{quoted}".encode())]
-                extra_at += [number, number]
-    if not flat:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    h = np.array(flat, np.uint64)
-    s = np.array(at, np.int64)
-    one, two = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    parts, where = [h[:, 0], h[:, 1], h[:, 2], np.array(extra, np.uint64)], [s, s, s, np.array(extra_at, np.int64)]
+        for mark in signs[i:j]:
+            quoted = not quoted if mark == '"' else mark in "„“«‹" and not quoted
+        category, form = known.labels[p]
+        out += [zlib.crc32(f"s:{category}:{quoted}".encode()), zlib.crc32(f"s:{form}:{quoted}".encode())]
+    return np.array(out, np.uint64), np.repeat(words.at[hits], 2)
+
+
+def features(texts: list[str | None], known: Lexicon) -> Sentences:
+    """The sentences of whole texts and their hashed features, for a group of texts at once.
+
+    A feature is a word, its consonants, its letters in any order, a pair or triple
+    of neighbouring words, a pair with one word between, a pair of consonant
+    skeletons, a quotation mark, or a seed term. Names of peoples are one word.
+    """
+    words = grams.words_of(texts)
+    h, s = words.hashes, words.at
+    seed = _among(h[:, 0], known.seeds)
+    h[_among(h[:, 0], known.peoples) >= 0] = zlib.crc32(b"<people>")
+    raw = [(h[:, 0], s), (h[:, 1], s), (h[:, 2], s), (np.full(len(words.marks), zlib.crc32(b"<quote>"), np.uint64), words.marks_at), _seed_features(words, seed, known)]
     with np.errstate(over="ignore"):
         for gap in (1, 2):
-            if len(s) > gap:
-                same = s[gap:] == s[:-gap]
-                parts.append((h[:-gap, 0] * one + h[gap:, 0] * two + np.uint64(gap))[same])
-                where.append(s[gap:][same])
-        if len(s) > 2:
-            same = s[2:] == s[:-2]
-            parts.append((h[:-2, 0] * one + h[1:-1, 0] * two + h[2:, 0] * np.uint64(0x165667B19E3779F9))[same])
-            where.append(s[2:][same])
-            parts.append((h[:-1, 1] * one + h[1:, 1] * two + np.uint64(7))[s[1:] == s[:-1]])
-            where.append(s[1:][s[1:] == s[:-1]])
-        mixed = np.concatenate(parts) * np.uint64(0xD6E8FEB86659FD93)
-    ids = (mixed >> np.uint64(64 - BITS)).astype(np.int32)
-    place = np.concatenate(where)
-    order = np.argsort(place, kind="stable")
-    return ids[order], place[order].astype(np.int32)
-
-
-def plain_lines(text: str) -> str:
-    """``plain`` line by line, so that letters are never joined across lines."""
-    return "\n".join(plain(line) for line in text.split("\n"))
-
-
-def sentence_scores(ids: np.ndarray, at: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The score of each sentence that has features, by its number."""
-    if not len(ids):
-        return np.zeros(0)
-    sums = np.bincount(at, weights=weights[ids], minlength=int(at[-1]) + 1)
+            same = s[gap:] == s[:-gap]
+            raw.append(((h[:-gap, 0] * ONE + h[gap:, 0] * TWO + np.uint64(gap))[same], s[gap:][same]))
+        same = s[2:] == s[:-2]
+        raw.append(((h[:-2, 0] * ONE + h[1:-1, 0] * TWO + h[2:, 0] * THREE)[same], s[2:][same]))
+        same = s[1:] == s[:-1]
+        raw.append(((h[:-1, 1] * ONE + h[1:, 1] * TWO + np.uint64(7))[same], s[1:][same]))
+        parts = [(((x * MIX) >> np.uint64(64 - BITS)).astype(np.int32), at) for x, at in raw]
+    return Sentences(parts, words)
+
+
+def sentence_scores(found: Sentences, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The score of each sentence."""
+    sums = np.zeros(len(found.words.owner))
+    for ids, at in found.parts:
+        sums += np.bincount(at, weights=weights[ids], minlength=len(sums))
     return 1 / (1 + np.exp(-np.clip(sums + bias, -30, 30)))
 
 
-def noisy_or(scores: np.ndarray) -> float:
-    """The chance that at least one sentence offends."""
-    return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-12)).sum()))
+def noisy_or(scores: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """For each text the chance that at least one of its sentences offends; 0 for a text without sentences."""
+    return -np.expm1(np.bincount(owner, weights=np.log1p(-np.minimum(scores, 1 - 1e-12)), minlength=texts))
 
 
 def vote_posteriors(yes: np.ndarray, no: np.ndarray, prior: np.ndarray | None = None, rounds: int = 40) -> np.ndarray:
@@ -218,7 +171,8 @@ class Bags(NamedTuple):
 def compact(bags: Bags, least: int = LEAST_BAGS) -> tuple[Bags, np.ndarray]:
     """The bags with features of at least ``least`` documents, renumbered, and those features' hashes."""
     owner = np.repeat(np.repeat(np.arange(len(bags.per_bag)), bags.per_bag), bags.per_sentence)
-    once = np.unique((bags.ids.astype(np.int64) << 32) | owner) >> 32
+    both = np.sort((bags.ids.astype(np.int64) << 32) | owner)
+    once = both[np.flatnonzero(np.diff(both, prepend=-1))] >> 32
     known = np.flatnonzero(np.bincount(once, minlength=1 << BITS) >= least)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[known] = np.arange(len(known))
@@ -228,34 +182,67 @@ def compact(bags: Bags, least: int = LEAST_BAGS) -> tuple[Bags, np.ndarray]:
     return Bags(mapped[keep], np.bincount(of[keep], minlength=len(bags.per_sentence)), bags.per_bag), known
 
 
-def fit(bags: Bags, target: np.ndarray, size: int, seed: int = 7) -> tuple[np.ndarray, float]:
+class Step(NamedTuple):
+    """One step's documents: their distinct features, the place of each feature among those, its sentence, the document of each sentence, and their rows."""
+
+    used: np.ndarray
+    local: np.ndarray
+    of: np.ndarray
+    bag: np.ndarray
+    rows: np.ndarray
+
+
+def steps_of(bags: Bags, size: int = BATCH, seed: int = 7) -> list[Step]:
+    """The documents that have sentences, in a drawn order, cut into steps of ``size``; of fewer where documents are few."""
+    order = np.random.default_rng(seed).permutation(np.flatnonzero(bags.per_bag > 0))
+    place = np.zeros(1 << BITS, np.int64)
+    out = []
+    size = max(4, min(size, len(order) // 16))
+    for i in range(0, len(order), size):
+        chosen = np.sort(order[i : i + size])
+        part = bags.take(chosen)
+        place[part.ids] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(len(used))
+        local = place[part.ids]
+        place[used] = 0
+        out.append(Step(used, local, np.repeat(np.arange(len(part.per_sentence)), part.per_sentence), np.repeat(np.arange(len(chosen)), part.per_bag), chosen))
+    return out
+
+
+def _screened(step: Step, keep: np.ndarray) -> Step:
+    """The step with the features of ``keep`` alone."""
+    own = keep[step.used]
+    place = np.cumsum(own) - 1
+    stay = own[step.local]
+    return Step(step.used[own], place[step.local[stay]], step.of[stay], step.bag, step.rows)
+
+
+def _sentence_sums(step: Step, weights: np.ndarray, bias: float) -> np.ndarray:
+    return np.clip(bias + np.bincount(step.of, weights=weights[step.used][step.local], minlength=len(step.bag)), -30, 30)
+
+
+def fit(steps: list[Step], target: np.ndarray, size: int, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights of ``size`` features and bias, by stochastic gradients of the noisy-or likelihood under soft targets.
 
     Step widths adapt to each weight; weights are drawn to 0 and stay there
     without evidence (proximal steps), so features that happen to stand beside an
-    offence in a few documents get none.
+    offence in a few documents get none. After ``SCREEN`` passes those at 0 leave.
     """
     weights, scale = np.zeros(size), np.full(size, 0.05)
     bias, bias_scale = -4.0, 1.0
-    first = np.concatenate([[0], np.cumsum(bags.per_bag)])
-    start = np.concatenate([[0], np.cumsum(bags.per_sentence)])
     draw = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        order = draw.permutation(np.flatnonzero(bags.per_bag > 0))
-        for i in range(0, len(order), BATCH):
-            rows = np.sort(order[i : i + BATCH])
-            sent = np.concatenate([np.arange(first[r], first[r + 1]) for r in rows])
-            flat = np.concatenate([bags.ids[start[first[r]] : start[first[r + 1]]] for r in rows])
-            of = np.repeat(np.arange(len(sent)), bags.per_sentence[sent])
-            z = np.clip(bias + np.bincount(of, weights=weights[flat], minlength=len(sent)), -30, 30)
+    for epoch in range(EPOCHS):
+        if epoch == SCREEN:
+            steps = [_screened(s, weights != 0) for s in steps]
+        for k in draw.permutation(len(steps)):
+            used, local, of, bag, rows = steps[k]
+            z = _sentence_sums(steps[k], weights, bias)
             p = 1 / (1 + np.exp(-z))
-            bag = np.repeat(np.arange(len(rows)), bags.per_bag[rows])
             none = np.exp(np.bincount(bag, weights=-np.logaddexp(0, z)))
             q = target[rows]
             push = np.clip(p * ((1 - q) - q * none / np.maximum(1 - none, 1e-9))[bag], -2, 2)
-            sums = np.bincount(flat, weights=push[of], minlength=size)
-            used = np.flatnonzero(sums)
-            step = sums[used]
+            step = np.bincount(local, weights=push[of], minlength=len(used))
             scale[used] += step**2
             width = RATE / np.sqrt(scale[used])
             moved = weights[used] - width * step
@@ -266,32 +253,19 @@ def fit(bags: Bags, target: np.ndarray, size: int, seed: int = 7) -> tuple[np.nd
     return weights, float(bias)
 
 
-def predict(bags: Bags, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The noisy-or scores of training documents."""
-    of = np.repeat(np.arange(len(bags.per_sentence)), bags.per_sentence)
-    z = np.clip(bias + np.bincount(of, weights=weights[bags.ids], minlength=len(bags.per_sentence)), -30, 30)
-    bag = np.repeat(np.arange(len(bags.per_bag)), bags.per_bag)
-    return -np.expm1(np.bincount(bag, weights=-np.logaddexp(0, z), minlength=len(bags.per_bag)))
-
-
-def held_out(bags: Bags, target: np.ndarray, size: int, folds: int = 4, seed: int = 3) -> np.ndarray:
-    """Each document's score by a model that has not seen it."""
-    fold = np.random.default_rng(seed).integers(0, folds, len(target))
-    out = np.zeros(len(target))
-    for k in range(folds):
-        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if len(rest) and len(own):
-            out[own] = predict(bags.take(own), *fit(bags.take(rest), target[rest], size))
-    return out
-
-
-def train(bags: Bags, yes: np.ndarray, no: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """The model: labels from votes, then ``rounds`` times from votes and held-out scores, then the fit to them."""
+def train(bags: Bags, yes: np.ndarray, no: np.ndarray, rounds: int = ROUNDS, folds: int = 4) -> tuple[np.ndarray, float]:
+    """The model: labels from votes, then ``rounds`` times from votes and scores by models that have not seen the document, then the fit to them."""
     small, known = compact(bags)
+    size, steps = len(known), steps_of(small)
     target = vote_posteriors(yes, no)
-    for turn in range(rounds if len(target) >= 40 else 0):
-        target = vote_posteriors(yes, no, held_out(small, target, len(known), seed=turn))
-    weights, bias = fit(small, target, len(known))
+    for turn in range(rounds if len(steps) >= 2 * folds else 0):
+        opinion = np.zeros(len(target))
+        for k in range(folds):
+            weights, bias = fit([s for i, s in enumerate(steps) if i % folds != k], target, size, seed=turn)
+            for step in steps[k::folds]:
+                opinion[step.rows] = -np.expm1(np.bincount(step.bag, weights=-np.logaddexp(0, _sentence_sums(step, weights, bias))))
+        target = vote_posteriors(yes, no, opinion)
+    weights, bias = fit(steps, target, size)
     full = np.zeros(1 << BITS, np.float32)
     full[known] = weights
     return full, bias
@@ -319,11 +293,15 @@ def labelled_bags(documents: DataFrame, votes: DataFrame, known: Lexicon, sample
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lengths = [], []
-            for text in batch.column(1):
-                found, at = features(text.as_py(), known)
-                counts = np.bincount(at, minlength=0) if len(at) else np.zeros(0, int)
-                ids.append(found.tobytes())
-                lengths.append(counts[counts > 0].astype(np.int32).tobytes())
+            for _, texts in grams.groups(batch.column(1).to_pylist()):
+                found = features(texts, known)
+                place = np.concatenate([at for _, at in found.parts])
+                flat = np.concatenate([x for x, _ in found.parts])[np.argsort(place, kind="stable")]
+                per_sentence = np.bincount(place, minlength=len(found.words.owner)).astype(np.int32)
+                first = np.concatenate([[0], np.cumsum(per_sentence)])
+                bounds = np.searchsorted(found.words.owner, np.arange(len(texts) + 1)).tolist()
+                ids += [flat[first[i] : first[j]].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                lengths += [per_sentence[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(ids, pa.binary()), pa.array(lengths, pa.binary())], names=["doc_id", "yes", "votes", "ids", "lengths"])
 
     got = rows.mapInArrow(run, "doc_id bigint, yes bigint, votes bigint, ids binary, lengths binary").toArrow().sort_by("doc_id")
@@ -353,32 +331,33 @@ def score_documents(documents: DataFrame, model: Model, key: str = "doc_id", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [noisy_or(sentence_scores(*features(t.as_py(), known), weights, bias)) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[key, *keep, "score"])
+            scores = [np.zeros(0)]
+            for _, texts in grams.groups(batch.column(0).to_pylist()):
+                found = features(texts, known)
+                scores.append(noisy_or(sentence_scores(found, weights, bias), found.words.owner, len(texts)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(scores))], names=[key, *keep, "score"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
     return rows.mapInArrow(run, f"{kinds}, score double")
 
 
 def locate_sentences(documents: DataFrame, model: Model, least: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """(key, sentence_no, score, sentence): the sentences with at least the given score, numbered from 1, in normalised spelling."""
+    """(key, sentence_no, score, sentence): the sentences with at least the given score, in folded spelling, numbered from 1 over those with words."""
     weights, bias, known = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, numbers, scores, texts = [], [], [], []
-            for i, t in enumerate(batch.column(1)):
-                text = t.as_py()
-                found = sentence_scores(*features(text, known), weights, bias)
-                hits = np.flatnonzero(found >= least)
-                if len(hits):
-                    parts = sentences(plain_lines(text))
-                    for k in hits:
-                        at.append(i)
-                        numbers.append(int(k) + 1)
-                        scores.append(float(found[k]))
-                        texts.append(parts[k])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(numbers, pa.int32()), pa.array(scores, pa.float64()), pa.array(texts, pa.string())], names=[key, "sentence_no", "score", "sentence"])
+            at, numbers, scores, parts = [], [], [], []
+            for start, texts in grams.groups(batch.column(1).to_pylist()):
+                found = features(texts, known)
+                scored, owner = sentence_scores(found, weights, bias), found.words.owner
+                for k in np.flatnonzero(scored >= least).tolist():
+                    at.append(start + int(owner[k]))
+                    numbers.append(k - int(np.searchsorted(owner, owner[k])) + 1)
+                    scores.append(float(scored[k]))
+                    parts.append(found.words.text(k))
+            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(numbers, pa.int32()), pa.array(scores, pa.float64()), pa.array(parts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "sentence_no", "score", "sentence"])
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, "text").mapInArrow(run, f"`{key}` {kind}, sentence_no int, score double, sentence string")

@@ -90,8 +90,25 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return filled.withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * F.lit(CAPACITY)), 6))
 
 
+#: The model of each state of the tables, so that the queries of a session train it once. Holds one at a time.
+_MODELS: dict[tuple, abuse.Model] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files at ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _abuse_model(spark: SparkSession, folder: str) -> abuse.Model:
-    return abuse.learn(*[table(spark, folder, name) for name in ("documents", "doc_labels", "abuse_terms", "lang_pairs")])
+    names = ("documents", "doc_labels", "abuse_terms", "lang_pairs")
+    state = tuple(_stamp(spark, f"{folder}/{n}.parquet") for n in names)
+    if state not in _MODELS:
+        model = abuse.learn(*[table(spark, folder, n) for n in names])
+        _MODELS.clear()
+        _MODELS[state] = model
+    return _MODELS[state]
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:

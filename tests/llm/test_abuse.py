@@ -1,28 +1,76 @@
+import random
+import re
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from morphloom.llm import abuse
+from morphloom.llm import abuse, grams
 
 KNOWN = abuse.lexicon([("bastard", "abuse", 3), ("cabrón", "abuse", 3)], ["Tolmari"])
 
 
+def same_form(text, form):
+    made = grams.words_of([text]).hashes
+    return len(made) == 1 and (made == grams.hashes_of([form])).all()
+
+
 def test_spellings_come_to_one_form():
-    forms = lambda t: [abuse.word(w) for w in abuse.TOKEN.findall(abuse.plain(t))]
-    for text in ("bastard", "BASTARD", "b_a_s_t_a_r_d", "b a s t a r d", "b@stard", "bаstаrd", "baaaastard", "ｂａｓｔａｒｄ", "bas​tard"):
-        assert forms(text) == ["bastard"], (text, forms(text))
-    assert forms("cabrón") == ["cabron"] and forms("v3rm1n") == ["vermin"] and forms("f!lth") == ["filth"]
-    assert abuse.keys("idiot")[1] == abuse.keys("idioot")[1] and abuse.keys("idiot")[2] == abuse.keys("idoit")[2]
+    for text in ("bastard", "BASTARD", "b_a_s_t_a_r_d", "b a s t a r d", "b -a -s -t", "b@stard", "bаstаrd", "baaaastard", "ｂａｓｔａｒｄ", "bas\u200btard", "bästárd"):
+        assert same_form(text, "bast" if "-" in text else "bastard"), text
+    assert same_form("cabrón", "cabron") and same_form("v3rm1n", "vermin") and same_form("f!lth", "filth") and same_form("3.14", "#") and same_form("Straße", "strasse")
+    idiot, idioot, idoit = grams.hashes_of(["idiot", "idioot", "idoit"])
+    assert idiot[1] == idioot[1] and idiot[2] == idoit[2] and len({idiot[0], idioot[0], idoit[0]}) == 3
+
+
+def split(text):
+    found = grams.words_of([text])
+    return [found.text(k) for k in range(len(found.owner))]
 
 
 def test_sentences_do_not_break_inside_quotations():
-    assert abuse.sentences("A b. C “d! e” f.\nG „h? i“ j") == ["A b.", "C “d! e” f.", "G „h? i“ j"]
+    assert split("One two. See “dd! ee” ff.\nGo „hh? ii“ jj") == ["one two.", "see “dd! ee” ff.", "go „hh? ii“ jj"]
+    assert split('He said "go. now." Then left.') == ['he said "go. now."', "then left."]
+    assert split('an open " quote. two.') == ['an open " quote.', "two."]
+
+
+@pytest.mark.parametrize("length", [10, 300, 5000])
+def test_the_length_of_a_quotation_does_not_matter(length):
+    assert len(split(f"One “{'word. ' * length}” two. Three four.")) == 2
+
+
+def test_words_against_a_regular_expression():
+    token = re.compile(r"[^\W_]+(?:[!@$|*€+£¡'’_.\-·~]+[^\W_]+)*[$!@]*")
+    draw = random.Random(5)
+    for _ in range(300):
+        texts = ["".join(draw.choice("ab zé1 .!?\"„“_-@$\n’ñ\uffff") for _ in range(draw.randint(0, 40))) for _ in range(draw.randint(0, 6))]
+        found = grams.words_of(texts)
+        folded = "".join(map(chr, found.codes.tolist()))
+        assert [m.start() for m in token.finditer(folded)] == found.starts.tolist(), texts
+        assert (np.diff(found.at) >= 0).all() and (np.diff(found.owner) >= 0).all()
+        assert found.owner.max(initial=0) < max(len(texts), 1)
+
+
+def test_a_text_alone_gives_what_it_gives_in_a_group():
+    texts = ["One two. Three!", None, "", "you “b a s t a r d” there", "x" * 3000]
+    whole = abuse.features(texts, KNOWN)
+    for i, text in enumerate(texts):
+        alone = abuse.features([text], KNOWN)
+        mine = np.flatnonzero(whole.words.owner == i)
+        got = sorted((x, s - mine.min()) for ids, at in whole.parts for x, s in zip(ids.tolist(), at.tolist()) if s in mine) if len(mine) else []
+        assert got == sorted((x, s) for ids, at in alone.parts for x, s in zip(ids.tolist(), at.tolist()))
+
+
+def test_groups_hold_every_text_once():
+    texts = ["a" * 10, None, "b" * 50, "", "c"]
+    assert [t for _, g in grams.groups(texts, 20) for t in g] == texts and [s for s, _ in grams.groups(texts, 20)] == [0, 3]
 
 
 def test_noisy_or_and_empty_texts():
-    assert abuse.noisy_or(np.array([0.5, 0.5])) == 0.75 and abuse.noisy_or(np.zeros(0)) == 0
+    assert abuse.noisy_or(np.array([0.5, 0.5]), np.array([1, 1]), 3).tolist() == [0, 0.75, 0]
     for text in (None, "", "  \n", "!!!"):
-        ids, at = abuse.features(text, KNOWN)
-        assert abuse.noisy_or(abuse.sentence_scores(ids, at, np.zeros(1 << abuse.BITS), -4.0)) <= 0.02
+        found = abuse.features([text], KNOWN)
+        assert len(found.words.owner) == 0 and len(abuse.sentence_scores(found, np.zeros(1 << abuse.BITS), -4.0)) == 0
 
 
 def test_votes_outweigh_a_lone_error():
@@ -57,10 +105,10 @@ def test_held_out_accuracy_and_located_sentences(spark):
     model = abuse.learn(documents, labels, terms, languages)
     scores = {r.doc_id: r.score for r in abuse.score_documents(documents, model).collect()}
     assert len(scores) == 503 and scores[1000] == scores[1001] == 0
-    right = [(scores[i] >= 0.5) == case for i, _, _, case in rows[300:]]
+    right = [(scores[i] >= abuse.THRESHOLD) == case for i, _, _, case in rows[300:]]
     assert np.mean(right) >= 0.95
     located = abuse.locate_sentences(documents, model).collect()
-    assert {r.doc_id for r in located} <= {i for i, s in scores.items() if s >= 0.5}
+    assert {r.doc_id for r in located} <= {i for i, s in scores.items() if s >= abuse.THRESHOLD}
     assert np.mean([any(w in r.sentence for w in ("you", "crawl", "nobody")) for r in located]) > 0.95
 
 
