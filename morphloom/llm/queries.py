@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphloom.llm import abuse, cooccur, looks, packing, terms, tokens, topk
-from morphloom.operators.live import hot_values, live_rows, live_subgroups
+from morphloom.operators.live import hot_values, live_rows, live_subgroups, size_of, version_subgroups
 from morphloom.plans.tables import table
+from morphloom.session import materialise
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,18 +51,32 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return looks.lead_back(rows, entries)
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Source words that stand together under one target word of a chunk far more often than chance."""
+def _basket_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The baskets of gloss_candidates before late versions arrived (an id's first version) and after (its live one)."""
     # a row that is no support keeps its id and time, so that it still replaces older versions, but travels without its words
     rows = table(spark, folder, "gloss_candidates")
     support = F.col("target_word").isNotNull() & F.col("source_word").isNotNull() & (F.col("count") >= 2)
-    hot = hot_values(rows.filter(F.col("target_word").isNotNull()), "target_word")
-    lean = rows.select("cand_id", "loaded_at", *[F.when(support, F.col(c)).alias(c) for c in ("pair", "chunk_id", "target_word", "source_word")])
-    rows = live_subgroups(lean, "cand_id", "loaded_at").filter(F.col("target_word").isNotNull())
-    baskets = cooccur.baskets_of(rows, "pair", ["chunk_id", "target_word"], "source_word", within="subgroup", near="target_word", hot=hot)
-    counts = cooccur.PairTable(spark).apply(cooccur.deltas(baskets))
-    found = cooccur.associations(counts.state(), least=5, lift=8)
-    return found.select(F.col("space").alias("pair"), "word_a", "word_b")
+    ids, words = hot_values(rows, "cand_id", "target_word")
+    names = ["pair", "target_word", "source_word"]
+    lean = rows.select("cand_id", "loaded_at", F.when(support, F.col("chunk_id")).alias("chunk_id"), F.when(support, cooccur.packed(*map(F.col, names))).alias("words"))
+    versions = version_subgroups(lean, "cand_id", "loaded_at", hot=ids).filter(F.col("words").isNotNull())
+    rows = versions.select("chunk_id", "sides", "subgroup", *cooccur.unpacked(F.col("words"), names))
+    return cooccur.pieces_of(rows, "pair", ["chunk_id", "target_word"], "source_word", "sides", within="subgroup", near="target_word", hot=words)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Source words that stand together under one target word of a chunk far more often than chance.
+
+    The table of pairs is loaded with the first version of every candidate and
+    scored; the late versions then arrive as signed deltas, and what they affect is
+    scored again.
+    """
+    unit = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batch = materialise(cooccur.pair_rows(_basket_pieces(spark, folder)), "pair-rows")
+    counts = cooccur.PairTable(spark, buckets=cooccur.buckets_for(size_of(table(spark, folder, "gloss_candidates")), unit), least=5)
+    counts.apply(cooccur.loaded(batch)).scores()
+    counts.apply(cooccur.changed(batch))
+    return counts.associations(lift=8).select(F.col("space").alias("pair"), "word_a", "word_b")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
