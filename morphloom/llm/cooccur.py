@@ -267,7 +267,9 @@ class PairTable:
             self.spark.read.schema(SCHEMA).parquet(*paths[b]).coalesce(1).groupBy(*KEY).agg(F.sum("n").alias("n")).filter("n <> 0").sortWithinPartitions("a", "b").withColumn("bucket", F.lit(int(b[7:])))
             for b in buckets
         ]
-        reduce(DataFrame.unionByName, merged).write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(target)
+        # tables of one partition each would be united into one partition; a part without rows that has two keeps them apart
+        none = self.spark.range(0, 2, 1, 2).filter("id < 0").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in merged[0].schema])
+        reduce(DataFrame.unionByName, merged, none).write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(target)
 
     def scores(self) -> DataFrame:
         """The pairs that at least ``least`` baskets hold, with their counts: those that changes affected since are counted again, others stay."""

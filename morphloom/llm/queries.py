@@ -14,15 +14,17 @@ from morphloom.session import materialise
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Terms too rare or too common: forms of markers by record, of entries and affixes by occurrences."""
     parts = []
-    markers = live_rows(table(spark, folder, "morph_markers").select("marker_id", "loaded_at", "pair", "verse", "form"), "marker_id", "loaded_at")
-    found = terms.term_frequencies(terms.term_bitmaps(markers, "form", ["pair", "verse"]))
-    total = markers.filter(F.col("form").isNotNull()).select("pair", "verse").distinct().agg(F.count(F.lit(1)).alias("total"))
-    parts.append(("morph_markers", terms.mark_terms(found, "records", total, 3, 0.02)))
+    raw = table(spark, folder, "morph_markers").select("marker_id", "loaded_at", "pair", "verse", "form")
+    (hot,) = hot_values(raw.select(cooccur.packed(F.col("pair"), F.col("verse")).alias("record")), "record")
+    markers = live_subgroups(raw, "marker_id", "loaded_at")
+    found = terms.term_frequencies(terms.merge_bitmaps(terms.term_bitmaps(terms.record_rows(markers, "form", ["pair", "verse"], "subgroup", hot))))
+    parts.append(("morph_markers", terms.mark_terms(found, "records", 3, 0.02)))
     for name, key in (("lex_entries", "entry_id"), ("affixes", "affix_id")):
-        rows = live_rows(table(spark, folder, name).select(key, "updated_at", "form", "count"), key, "updated_at").filter(F.col("count") >= 0)
-        found = terms.term_frequencies(terms.term_bitmaps(rows, "form", [key], F.col("count")))
-        total = rows.filter(F.col("form").isNotNull()).agg(F.sum("count").alias("total"))
-        parts.append((name, terms.mark_terms(found, "occurrences", total, 3, 0.01)))
+        # an entry is a record, and its id the record's number
+        rows = live_subgroups(table(spark, folder, name).select(key, "updated_at", "form", "count"), key, "updated_at").filter((F.col("count") >= 0) & F.col("form").isNotNull())
+        numbered = rows.select("subgroup", F.col("form").alias("term"), F.col(key).alias("number"), F.col("count").alias("n"))
+        found = terms.term_frequencies(terms.merge_bitmaps(terms.term_bitmaps(numbered, "subgroup")))
+        parts.append((name, terms.mark_terms(found, "occurrences", 3, 0.01)))
     tabs = [df.select(F.lit(tab).alias("tab"), "term", "mark") for tab, df in parts]
     return tabs[0].unionByName(tabs[1]).unionByName(tabs[2])
 
