@@ -55,8 +55,8 @@ def shows_nothing(ch: str) -> bool:
 
 @lru_cache(maxsize=None)
 def lookalikes(script: str) -> dict[str, str]:
-    """Character -> the letter of the script, or sign, that it looks like."""
-    table = {alike: letter for letter, all_alike in SCRIPTS[script].items() for alike in all_alike if alike != letter}
+    """Character -> the letter of the script, or sign, that it looks like; signs alone for a script without table."""
+    table = {alike: letter for letter, all_alike in SCRIPTS.get(script, {}).items() for alike in all_alike if alike != letter}
     return table | {g: "ʼ" for g in GLOTTAL if g != "ʼ"} | {h: "-" for h in HYPHENS}
 
 
@@ -127,20 +127,23 @@ def look(text: str, script: str) -> str:
 def with_look(df: DataFrame, text: str, script: str, name: str = "look") -> DataFrame:
     """``df`` with the look of column ``text`` under the script named in column ``script``.
 
-    Null text or an unknown script gives null; an empty text gives an empty one.
+    Null text gives null; an empty text gives an empty one. Under a null script or
+    one without table of look-alikes, everything but look-alike letters is brought
+    to one form.
     """
     quick: Column = F.lit(False)
-    for one in SCRIPTS:
+    known = F.coalesce(F.col(script).isin(list(SCRIPTS)), F.lit(False))
+    for one in (*SCRIPTS, ""):
         ranges = _ranges(one)
-        quick = quick | ((F.col(script) == one) & F.col(text).rlike(f"^[{ranges}]*( [{ranges}]+)*\\z") & ~F.col(text).startswith(" "))
+        meant = F.col(script).eqNullSafe(F.lit(one)) if one else ~known
+        quick = quick | (meant & F.col(text).rlike(f"^[{ranges}]*( [{ranges}]+)*\\z") & ~F.col(text).startswith(" "))
 
     @F.pandas_udf("string")
     def convert(texts: pd.Series, scripts: pd.Series) -> pd.Series:
-        return pd.Series([look(t, s) if isinstance(t, str) and s in SCRIPTS else None for t, s in zip(texts, scripts, strict=True)], dtype=object)
+        return pd.Series([look(t, s if s in SCRIPTS else "") if isinstance(t, str) else None for t, s in zip(texts, scripts, strict=True)], dtype=object)
 
-    known = F.col(text).isNotNull() & F.col(script).isin(list(SCRIPTS))
-    slow = F.when(known & ~quick, F.col(text))
-    return df.withColumn(name, F.when(known & quick, F.col(text)).when(known, convert(slow, F.col(script))))
+    slow = F.when(F.col(text).isNotNull() & ~quick, F.col(text))
+    return df.withColumn(name, F.when(F.col(text).isNotNull() & quick, F.col(text)).otherwise(convert(slow, F.col(script))))
 
 
 def lead_back(rows: DataFrame, entries: DataFrame) -> DataFrame:

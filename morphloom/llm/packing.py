@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from morphloom.session import materialise
 
-#: Units of a size class, hash parts in which the items of one size are counted.
-GRAIN, SALTS = 8, 64
+#: Units of a size class; items of one size that a task ranks.
+GRAIN, ROWS_A_TASK = 8, 1_000_000
 #: Share of all units, in the smallest items, that the linear program leaves for filling gaps.
 HELD_BACK = 0.03
 #: Multiplicative weights: rounds at most, how sharply cover lowers a weight, and the share of a class one use may cover.
@@ -206,12 +206,14 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int, grain: int = GRAI
     parts = F.greatest(F.ceil(F.col("__size") / F.lit(capacity)), F.lit(1)).cast("int")
     pieces = whole.select(key, "__size", F.explode(F.sequence(F.lit(1), parts)).alias("piece"))
     tokens = F.least(F.lit(capacity).cast("bigint"), F.col("__size") - (F.col("piece") - 1) * F.lit(capacity))
-    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)).cast("int")
-    pieces = pieces.select(key, "piece", tokens.alias("tokens"), salt.alias("salt"))
-
-    counted = pieces.filter("tokens > 0").groupBy("tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(counted, "histogram")  # at most capacity x SALTS rows
-    histogram = {r[0]: r[1] for r in counts.groupBy("tokens").agg(F.sum("n")).collect()}  # at most capacity rows
+    pieces = pieces.select(key, "piece", tokens.alias("tokens"))
+
+    histogram = {r[0]: r[1] for r in pieces.filter("tokens > 0").groupBy("tokens").count().collect()}  # at most capacity rows
+    # a size of very many items is ranked in as many parts as its items need: capacity + items / ROWS_A_TASK parts in all
+    cut = {s: -(-n // ROWS_A_TASK) for s, n in histogram.items() if n > ROWS_A_TASK}
+    parts_of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]), F.col("tokens")), F.lit(1)) if cut else F.lit(1)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), parts_of).cast("int"))
+    counts = pieces.filter("tokens > 0").groupBy("tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
     sizes, first, container, each = intervals(plan(histogram, capacity, grain))
     before = Window.partitionBy("tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
     def looked(name: str, key: str, text: str) -> DataFrame:
         rows = table(spark, folder, name).select(F.lit(name).alias("tab"), F.col(key).alias("row_id"), "pair", F.col(text).alias("text"))
-        return looks.with_look(rows.join(F.broadcast(scripts), "pair"), "text", "script").filter(F.col("look").isNotNull())
+        return looks.with_look(rows.join(F.broadcast(scripts), "pair", "left"), "text", "script").filter(F.col("look").isNotNull())
 
     tabs = [looked("gemma_proposals", "prop_id", "word"), looked("morph_markers", "marker_id", "form"), looked("lex_entries", "entry_id", "form")]
     rows = tabs[0].unionByName(tabs[1]).unionByName(tabs[2])

@@ -53,3 +53,9 @@ def test_trailing_line_ends_are_converted(spark):
     texts = [f"word{end}" for end in ("\n", "\r\n", "\u0085", " ", "")]
     df = spark.createDataFrame([("Latn", t) for t in texts], "script string, text string")
     assert {(r.text, r.look) for r in looks.with_look(df, "text", "script").collect()} == {(t, looks.look(t, "Latn")) for t in texts} == {(t, "word") for t in texts}
+
+
+def test_scripts_without_table_are_normalised_all_the_same(spark):
+    rows = [("Grek", "ｋａλά"), (None, "ｋａλά​"), ("Grek", "n'а"), ("Grek", "plain")]
+    got = looks.with_look(spark.createDataFrame(rows, "script string, text string"), "text", "script").collect()
+    assert [r.look for r in got] == ["kaλά", "kaλά", "nʼа", "plain"]

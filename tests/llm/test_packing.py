@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from morphloom.llm import packing
 
 
@@ -51,7 +53,9 @@ def test_pack(spark):
     assert len(fill) <= 1.03 * sum(fill.values()) / 100 + 1
 
 
-def test_pack_one_hot_size_and_nothing(spark):
+@pytest.mark.parametrize("rows_a_task", [7, 1_000_000])
+def test_pack_one_hot_size_and_nothing(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr(packing, "ROWS_A_TASK", rows_a_task)
     hot = spark.createDataFrame([(i, 30) for i in range(1000)], "doc_id bigint, size bigint")
     assert packing.pack(hot, "doc_id", "size", 100, grain=10).select("container").distinct().count() == 334
     assert packing.pack(hot.limit(0), "doc_id", "size", 100).count() == 0
