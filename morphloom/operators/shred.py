@@ -13,13 +13,18 @@ prefixes of its name and no recursive join is needed to find them.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
+from json.decoder import scanstring
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of nodes, about, that an Arrow batch holds at most.
+BATCH_BYTES = 32 << 20
 #: What may stand around a JSON text.
 BLANKS = "\ufeff \t\r\n"
 
@@ -36,21 +41,113 @@ NODE_FIELDS = (
 )
 
 
+_SPACE = re.compile(r"[ \t\r\n]*")
+_ATOM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+
+
+def _read_deep(text: str) -> object:
+    """``json.loads`` without recursion, for texts nested beyond its reach."""
+    holders: list[tuple[object, str | None]] = []
+    at, key = 0, None
+    while True:
+        at = _SPACE.match(text, at).end()
+        sign = text[at : at + 1]
+        if sign in ("{", "["):
+            value: object = {} if sign == "{" else []
+            inner = _SPACE.match(text, at + 1).end()
+            if text[inner : inner + 1] == ("}" if sign == "{" else "]"):
+                at = inner + 1
+            else:
+                holders.append((value, key))
+                key, at = _member(text, inner) if sign == "{" else (None, inner)
+                continue
+        elif sign == '"':
+            value, at = scanstring(text, at + 1)
+        else:
+            atom = _ATOM.match(text, at)
+            if not atom:
+                raise ValueError(f"no value at {at}")
+            value, at = json.loads(atom[0]), atom.end()
+        while holders:
+            holder, above = holders[-1]
+            if isinstance(holder, dict):
+                holder[key] = value
+            else:
+                holder.append(value)
+            at = _SPACE.match(text, at).end()
+            sign, at = text[at : at + 1], at + 1
+            if sign == ",":
+                key, at = _member(text, at) if isinstance(holder, dict) else (None, at)
+                break
+            if sign != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(f"no end of a member at {at}")
+            value, key = holder, above
+            holders.pop()
+        else:
+            if _SPACE.match(text, at).end() != len(text):
+                raise ValueError(f"more text at {at}")
+            return value
+
+
+def _member(text: str, at: int) -> tuple[str, int]:
+    """The name of a member and where its value starts."""
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no name at {at}")
+    name, at = scanstring(text, at + 1)
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return name, at + 1
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _read_deep(text)
+
+
+def write_json(value: object) -> str:
+    """A value as JSON text, at any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    stack: list[object] = [value]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, _Raw):
+            out.append(item)
+        elif isinstance(item, dict):
+            parts = [part for i, (k, v) in enumerate(item.items()) for part in (_Raw((", " if i else "{") + json.dumps(k, ensure_ascii=False) + ": "), v)]
+            stack.extend(reversed([*(parts or [_Raw("{")]), _Raw("}")]))
+        elif isinstance(item, list):
+            parts = [part for i, v in enumerate(item) for part in (_Raw(", " if i else "["), v)]
+            stack.extend(reversed([*(parts or [_Raw("[")]), _Raw("]")]))
+        else:
+            out.append(json.dumps(item, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Raw(str):
+    """Text that is written as it is."""
+
+
 def read_json(text: str | None) -> object:
-    """The value of a JSON text; a text that holds a JSON text is read again.
+    """The value of a JSON text, at any depth; a text that holds a JSON text is read again, as often as it takes.
 
-    Byte order marks and blanks around the text are ignored. What cannot be
-    read, or is nested too deeply to be read, is None, like a null.
+    Byte order marks and blanks around the text are ignored. What cannot be read
+    is None, like a null.
     """
     value: object = text
-    for _ in range(8):
-        if not isinstance(value, str):
-            return value
+    while isinstance(value, str):
         try:
-            value = json.loads(value.strip(BLANKS))
-        except (ValueError, RecursionError):
+            value = _loads(value.strip(BLANKS))
+        except ValueError:
             return None
-    return None if isinstance(value, str) else value
+    return value
 
 
 def _scalar(value: object) -> tuple[str, str | None]:
@@ -114,20 +211,24 @@ def shred(
     embedded: Iterable[str] = (),
     collections: dict[str, Iterable[str]] | None = None,
     labels: Iterable[str] | None = None,
+    objects: str | None = None,
     rows_per_batch: int = 20_000,
 ) -> DataFrame:
     """The adjacency table of the JSON texts in column ``text``.
 
     keys: columns that name the record; they are repeated on each node.
-    labels: scalar nodes are kept only under these labels (None: all). Objects
-    and arrays are always kept.
+    labels: scalar nodes are kept only under these labels (None: all).
+    objects: a pattern of the whole trail of the objects that are kept, with their
+    scalars; arrays and other nodes are not (None: all nodes are).
 
-    A null or unreadable text gives no rows. A record of any size is emitted in
-    batches, so its nodes never have to fit one Arrow batch.
+    A null or unreadable text gives no rows; ``unreadable`` tells which texts those
+    are. A record of any size and depth is emitted in batches, so its nodes never
+    have to fit one Arrow batch.
     """
     inline = frozenset(embedded)
     lists = {k: frozenset(v) for k, v in (collections or {}).items()}
     wanted = None if labels is None else frozenset(labels)
+    shape = None if objects is None else re.compile(objects)
     source = df.select(*keys, F.col(text).alias("__text"))
     schema = T.StructType([*[source.schema[k] for k in keys], *[T.StructField(n, t) for n, _, t in NODE_FIELDS]])
     width = len(keys)
@@ -137,6 +238,7 @@ def shred(
             texts = batch.column(width)
             at: list[int] = []
             out: list[tuple] = []
+            held = 0
 
             def flush(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
                 taken = [batch.column(i).take(pa.array(at, pa.int32())) for i in range(width)]
@@ -149,19 +251,33 @@ def shred(
                 if not isinstance(tree, (dict, list)):
                     continue
                 for row in walk(tree, inline, lists):
-                    if wanted is not None and row[6] not in ("object", "array") and row[2] not in wanted:
+                    scalar = row[6] not in ("object", "array")
+                    if wanted is not None and scalar and row[2] not in wanted:
+                        continue
+                    if shape is not None and (row[6] == "array" or not shape.fullmatch(row[4].removesuffix("." + row[2]) if scalar else row[4])):
                         continue
                     at.append(i)
                     out.append(row)
-                    if len(out) >= rows_per_batch:
+                    held += 200 + 2 * len(row[4]) + 2 * len(row[0])
+                    if len(out) >= rows_per_batch or held >= BATCH_BYTES:
                         yield flush()
-                        at, out = [], []
+                        at, out, held = [], [], 0
             if out:
                 yield flush()
 
     return source.mapInArrow(run, schema)
 
 
+def unreadable(df: DataFrame, text: str, name: str = "unreadable") -> DataFrame:
+    """``df`` with whether its text is neither null nor JSON of an object or array, so that nothing is dropped unseen."""
+
+    @F.pandas_udf("boolean")
+    def bad(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and not isinstance(read_json(t), (dict, list)))
+
+    return df.withColumn(name, bad(F.col(text)))
+
+
 def pivot_entities(nodes: DataFrame, keys: list[str], where: Column, members: dict[str, str]) -> DataFrame:
     """Objects that satisfy ``where``, each with scalar children as columns.
 

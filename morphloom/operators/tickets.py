@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morphloom.operators.live import live_rows
-from morphloom.operators.shred import pivot_entities, read_json, shred
+from morphloom.operators.shred import pivot_entities, read_json, shred, write_json
 
 #: Members that make an object with an "id" a ticket; a wrapper's own header has none of them.
 TICKET_MEMBERS = frozenset({"pair", "type", "domain", "status", "target", "impact", "hypotheses", "presentation_options"})
@@ -22,6 +21,7 @@ COLLECTIONS = {
     "presentation_options": ("id", "question_id", "kind", "text", "discriminates"),
     "edits": ("kind", "params"),
 }
+OPTION_TRAIL, IMPACT_TRAIL = r"^\.presentation_options\[\]$", r"^\.impact$"
 EDIT_TRAIL = r"^\.hypotheses\[\]\.edits\[\](\.params\.edits\[\])*$"
 
 
@@ -52,7 +52,7 @@ def unpack_payloads(raw: DataFrame) -> DataFrame:
                     at.append(i)
                     ids.append(name)
                     seqs.append(seq)
-                    bodies.append(json.dumps({k: body.get(k) for k in ("hypotheses", "presentation_options", "impact")}, ensure_ascii=False))
+                    bodies.append(write_json({k: body.get(k) for k in ("hypotheses", "presentation_options", "impact")}))
             take = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.string()), batch.column(0).take(take), batch.column(1).take(take), pa.array(seqs, pa.int64()), pa.array(bodies, pa.string())],
@@ -77,8 +77,8 @@ def ticket_bodies(tickets: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def ticket_nodes(tickets: DataFrame, raw: DataFrame) -> DataFrame:
-    """The adjacency table of the live tickets' hypotheses, options and impacts."""
-    return shred(ticket_bodies(tickets, raw), ["ticket_id"], "body", EMBEDDED, COLLECTIONS, labels=("kind", "id", "score"))
+    """The adjacency table of the live tickets' edits, options and impacts, with their scalars."""
+    return shred(ticket_bodies(tickets, raw), ["ticket_id"], "body", EMBEDDED, COLLECTIONS, labels=("kind", "id", "score"), objects=f"{EDIT_TRAIL[1:-1]}|{OPTION_TRAIL[1:-1]}|{IMPACT_TRAIL[1:-1]}")
 
 
 def plain_digits(column: str) -> Column:

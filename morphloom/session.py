@@ -28,13 +28,19 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
+    """The folder every executor can read: ``spark.checkpoint.dir`` of the session, or what ``setCheckpointDir`` set.
 
-    Only a session without that setting (a local one) gets a folder of its own.
+    Only a local session without either gets a folder of its own; on a cluster
+    their absence is an error, since a folder of one machine is of no use there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        set_dir = spark._jsc.sc().getCheckpointDir()
+        named = set_dir.get() if set_dir.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="morphloom-"))
         atexit.register(shutil.rmtree, _OWN[0], True)

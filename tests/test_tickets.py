@@ -1,6 +1,8 @@
 import json
 from datetime import datetime
 
+import pytest
+
 from morphloom.operators import shred, tickets
 
 EDIT = lambda kind, **params: {"kind": kind, "params": params or None}
@@ -143,3 +145,52 @@ def test_query_equals_brute_force(spark, folder):
     rows, payloads = (pq.read_table(f"{folder}/{t}.parquet").to_pylist() for t in ("tickets", "raw_tickets"))
     got = [tuple(r) for r in p1_found(spark, folder).collect()]
     assert len(got) == len(set(got)) > 0 and set(got) == brute(rows, payloads)
+
+
+def wrapped(value, times):
+    for _ in range(times):
+        value = json.dumps(value)
+    return value
+
+
+def test_json_text_in_json_text_of_any_depth():
+    for times in (1, 8, 9, 12):
+        assert shred.read_json(wrapped({"a": 1}, times)) == {"a": 1}
+    assert shred.read_json(wrapped("no json", 4)) is None and shred.read_json('"') is None
+
+
+@pytest.mark.parametrize("depth", [3, 3_000, 200_000])
+def test_nesting_of_any_depth(depth):
+    text = '{"a":[' * depth + '1, "x\\u00e9", {}, []' + "]}" * depth
+    value = shred.read_json(text)
+    again = shred.read_json(shred.write_json(value))
+    for tree in (value, again):
+        for _ in range(depth):
+            assert list(tree) == ["a"]
+            tree = tree["a"]
+            inner, tree = tree, tree[0]
+        assert inner == [1, "xé", {}, []]
+    assert shred.read_json(text[:-1]) is None and shred.read_json(text + "]") is None
+
+
+def test_the_reader_without_recursion_agrees_with_json():
+    good = ['{"a": [1, -2.5e3, true, null, {"b": ""}], "c": {}}', " [ ] ", '"x"', "0", "[[[]]]", '{"a":1,"a":2}', "[NaN]"]
+    for text in good:
+        assert repr(shred._read_deep(text)) == repr(json.loads(text))
+    for text in ("", "{", "[1,]", '{"a"}', '{"a":}', "[1 2]", "01", "tru", '{"a":1,}', "[]]", "{1:2}"):
+        with pytest.raises(ValueError):
+            shred._read_deep(text)
+
+
+def test_a_deep_ticket_is_not_lost(spark):
+    deep = '{"kind":"k","params":{"edits":[' * 400 + '{"kind":"last"}' + "]}}" * 400
+    payload = f'{{"id":"T","type":"x","hypotheses":[{{"edits":[{deep}]}}]}}'
+    raw = spark.createDataFrame([(1, "p", payload, None)], "raw_id bigint, pair string, payload string, received_at timestamp_ntz")
+    typed = spark.read.parquet("/root/testdata/sf0.001/tickets.parquet").limit(0)
+    got = {r.path: r.value for r in tickets.ticket_entities(typed, raw).collect()}
+    assert len(got) == 401 and got[".".join(["1"] * 401)] == "last"
+
+
+def test_unreadable_texts_are_told(spark):
+    df = spark.createDataFrame([("{}",), ("[1",), (None,), ("7",)], "t string")
+    assert [r.unreadable for r in shred.unreadable(df, "t").collect()] == [False, True, False, True]
