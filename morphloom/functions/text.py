@@ -34,23 +34,23 @@ def tokens(text: Column, lower: bool = True, extra: str = "") -> Column:
 
 def is_alpha(word: Column) -> Column:
     """Letters only; words with combining marks are not."""
-    return word.rlike(r"^\p{L}+$")
+    return word.rlike(r"^\p{L}+\z")
 
 
 def is_word_mark(word: Column) -> Column:
     """Letters and marks only."""
-    return word.rlike(r"^[\p{L}\p{M}]+$")
+    return word.rlike(r"^[\p{L}\p{M}]+\z")
 
 
 def is_word(token: Column) -> Column:
     """Letters, joined by single hyphens or apostrophes."""
-    return token.rlike(r"^\p{L}+(?:[-'’]\p{L}+)*$")
+    return token.rlike(r"^\p{L}+(?:[-'’]\p{L}+)*\z")
 
 
 def is_number(token: Column, group: str = ",", decimal: str = ".") -> Column:
     """Digits, with group separators and at most one decimal mark, between any punctuation."""
-    bare = F.regexp_replace(token, r"^[^\p{N}]+|[^\p{N}]+$", "")
-    return F.regexp_replace(F.regexp_replace(bare, rf"[{group}]", ""), rf"[{decimal}]", "").rlike(r"^\p{N}+$") & (
+    bare = F.regexp_replace(token, r"^[^\p{N}]+|[^\p{N}]+\z", "")
+    return F.regexp_replace(F.regexp_replace(bare, rf"[{group}]", ""), rf"[{decimal}]", "").rlike(r"^\p{N}+\z") & (
         F.length(bare) - F.length(F.regexp_replace(bare, rf"[{decimal}]", "")) <= 1
     )
 
@@ -58,7 +58,7 @@ def is_number(token: Column, group: str = ",", decimal: str = ".") -> Column:
 def token_class(token: Column) -> Column:
     """word, number, punctuation or other; the first that fits."""
     return (
-        F.when(is_word(token), "word").when(is_number(token), "number").when(token.rlike(r"^[\p{P}\p{S}]+$"), "punctuation").otherwise("other")
+        F.when(is_word(token), "word").when(is_number(token), "number").when(token.rlike(r"^[\p{P}\p{S}]+\z"), "punctuation").otherwise("other")
     )
 
 
@@ -92,7 +92,7 @@ def is_grammatical(gloss: Column) -> Column:
 
 def is_leipzig(tag: Column) -> Column:
     """All-capital glossing labels, digits and dots allowed."""
-    return tag.rlike(r"^[A-Z0-9](?:[A-Z0-9._]*[A-Z0-9])?$")
+    return tag.rlike(r"^[A-Z0-9](?:[A-Z0-9._]*[A-Z0-9])?\z")
 
 
 def gloss_slug(gloss: Column) -> Column:
@@ -116,7 +116,7 @@ def canonical_key(features: Column) -> Column:
 
 def answer_letter(text: Column) -> Column:
     """The option letter an answer names: an explicit statement first, else the last letter that stands alone."""
-    bare = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    said = F.regexp_extract(bare, r"(?i)answer\s*(?:is|:)?\s*\(?([A-D])\b", 1)
-    alone = F.regexp_extract_all(bare, F.lit(r"\b([A-D])\b"), 1)
+    bare = F.regexp_replace(text, r"(?is)<think>.*?</think>", " ")
+    said = F.regexp_extract(bare, r"(?i)(?:answer|option|choice)\s*(?:is|:)?\s*\(?\s*([A-D])\b", 1)
+    alone = F.regexp_extract_all(F.upper(bare), F.lit(r"\b([A-D])\b"), 1)
     return F.coalesce(F.nullif(F.upper(said), F.lit("")), F.when(F.size(alone) > 0, F.element_at(alone, -1)))

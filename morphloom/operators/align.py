@@ -56,10 +56,10 @@ def best_glosses(table: DataFrame) -> DataFrame:
 
 
 def sense_links(table: DataFrame, least_prob: float = 0.5, least_count: int = 2, ceiling: float = 0.6) -> DataFrame:
-    """(op, space, reference_lemma, vernacular_lemma, confidence): proposals from first candidates sure enough."""
+    """(op, space, reference_lemma, vernacular_sense, confidence): links from first candidates sure enough, to be confirmed."""
     sure = best_glosses(table).filter((F.col("prob") >= least_prob) & (F.col("n") >= least_count))
     return sure.select(
-        F.lit("bilingual.sense_link.create").alias("op"), "space", F.col("source").alias("reference_lemma"), F.col("target").alias("vernacular_lemma"), F.least("prob", F.lit(ceiling)).alias("confidence")
+        F.lit("bilingual.sense_link.add").alias("op"), "space", F.col("source").alias("reference_lemma"), F.col("target").alias("vernacular_sense"), F.round(F.least("prob", F.lit(ceiling)), 4).alias("confidence")
     )
 
 

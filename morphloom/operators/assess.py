@@ -100,15 +100,23 @@ def grammar_length(roots: DataFrame, affixes: DataFrame, keys: list[str]) -> Dat
     return joined.select(*keys, bits.alias("bits"))
 
 
-def data_length(words: DataFrame, parses: DataFrame, alphabet: DataFrame, keys: list[str]) -> DataFrame:
+def data_length(words: DataFrame, parses: DataFrame, alphabet: DataFrame, keys: list[str], gold: DataFrame | None = None) -> DataFrame:
     """(keys, bits): the description length of a corpus under its readings.
 
-    Of each word the first line is taken. A morph, named by its gloss, costs minus
+    Of each word the gold line is taken if it is among the readings, else the first
+    reading, in the order of the lines. A morph, named by its gloss, costs minus
     log2 of its token share, a word log2 of its readings on top; a word without
     reading costs log2 of the alphabet for each character. words: (keys, word, n);
+    parses, gold: (keys, word, line), of several gold lines the first counts;
     alphabet: (keys, sigma).
     """
-    per = parses.groupBy(*keys, "word").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("readings"))
+    lines = parses.select(*keys, "word", "line").distinct()
+    first = F.min("line")
+    if gold is not None:
+        right = gold.groupBy(*keys, "word").agg(F.min("line").alias("line")).withColumn("__gold", F.lit(True))
+        lines = lines.join(right, [*keys, "word", "line"], "left")
+        first = F.coalesce(F.min(F.when(F.col("__gold"), F.col("line"))), F.min("line"))
+    per = lines.groupBy(*keys, "word").agg(first.alias("line"), F.count(F.lit(1)).alias("readings"))
     joined = words.join(per, [*keys, "word"], "left")
     morphs = joined.filter(F.col("line").isNotNull()).select(*keys, "word", "n", F.explode(F.split("line", "-")).alias("morph"))
     counted = morphs.groupBy(*keys, "morph").agg(F.sum("n").alias("c"))

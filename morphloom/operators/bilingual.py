@@ -56,11 +56,12 @@ def invert(crosswalk: Column) -> Column:
 def links_from_changes(changes: DataFrame) -> DataFrame:
     """(reference, reference_tags, vernacular, vernacular_tags): dictionary links of sense-link changes, each once, incomplete ones dropped.
 
-    changes: (op, fields map).
+    changes: (op, fields map); a sense or lemma may be text or a JSON object with ``entry`` or ``lemma``.
     """
     get = lambda k: F.nullif(F.try_element_at("fields", F.lit(k)), F.lit(""))
-    rows = changes.filter(F.col("op") == "bilingual.sense_link.create").select(
-        get("reference_lemma").alias("reference"), F.coalesce(get("reference_tags"), F.lit("")).alias("reference_tags"), get("vernacular_lemma").alias("vernacular"), F.coalesce(get("vernacular_tags"), F.lit("")).alias("vernacular_tags")
+    named = lambda k, member: F.coalesce(F.get_json_object(F.when(get(k).startswith("{"), get(k)), f"$.{member}"), F.when(~get(k).startswith("{"), get(k)))
+    rows = changes.filter(F.col("op") == "bilingual.sense_link.add").select(
+        named("reference_lemma", "lemma").alias("reference"), F.coalesce(get("reference_tags"), F.lit("")).alias("reference_tags"), named("vernacular_sense", "entry").alias("vernacular"), F.coalesce(get("vernacular_tags"), F.lit("")).alias("vernacular_tags")
     )
     return rows.filter("reference is not null and vernacular is not null").distinct()
 

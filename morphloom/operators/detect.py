@@ -9,11 +9,11 @@ from morphloom.functions.text import reduplicated, vowel_groups
 
 
 def affix_polarity(affixes: DataFrame, keys: list[str], ratio: float = 1.3) -> DataFrame:
-    """(keys, prefixes, suffixes, polarity): prefixing or suffixing where one side has ``ratio`` times the forms of the other, else mixed."""
-    side = lambda k: F.countDistinct(F.when(F.col("kind") == k, F.col("form")))
+    """(keys, prefixes, suffixes, polarity): prefixing or suffixing where one side has more than ``ratio`` times the affixes of the other, else both."""
+    side = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0))
     counted = affixes.groupBy(*keys).agg(side("prefix").alias("prefixes"), side("suffix").alias("suffixes"))
     p, s = F.col("prefixes"), F.col("suffixes")
-    return counted.withColumn("polarity", F.when(p >= F.lit(ratio) * s, "prefixing").when(s >= F.lit(ratio) * p, "suffixing").otherwise("mixed"))
+    return counted.withColumn("polarity", F.when(p > F.lit(ratio) * s, "prefixing").when(s > F.lit(ratio) * p, "suffixing").otherwise("both"))
 
 
 def reduplication_rates(vocabulary: DataFrame, keys: list[str], least: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphloom.functions.text import reduplicated
+from morphloom.functions.text import reduplicated, vowel_groups
 from morphloom.operators import align, assess, morph
 from morphloom.operators.gold import english_inflection
 from morphloom.session import materialise
@@ -49,12 +49,53 @@ def peel(words: DataFrame, known: DataFrame, affixes: DataFrame, keys: list[str]
     return state.select(*keys, "word", "stem", "peeled", "known")
 
 
-def synthesis(vocabulary: DataFrame, peeled: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, index, type): morphs a token, and the type of language by it: isolating below 1.5, mildly synthetic below 2.3, synthetic below 3.5, else polysynthetic."""
-    joined = vocabulary.join(peeled.select(*keys, "word", "peeled"), [*keys, "word"])
-    index = joined.groupBy(*keys).agg((F.sum(F.col("n") * (F.col("peeled") + 1)) / F.sum("n")).alias("index"))
-    kind = F.when(F.col("index") < 1.5, "isolating").when(F.col("index") < 2.3, "mild").when(F.col("index") < 3.5, "synthetic").otherwise("polysynthetic")
-    return index.withColumn("type", kind)
+def strip_edges(words: DataFrame, affixes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, word, rest, morphs): words after taking off edges until none fits, whether or not what is left is known.
+
+    The longest fitting prefix goes first, then the longest fitting suffix; at
+    least two characters stay, and of a rest of two nothing is taken. Affixes of a
+    key are one list beside each word, so a word needs no exchange a step.
+    words: (keys, word), affixes: (keys, side, affix).
+    """
+    length = lambda x: F.struct((-F.length(x)).alias("long"), x.alias("affix"))
+    side = lambda name: F.transform(F.array_sort(F.collect_set(F.when((F.col("side") == name) & (F.col("affix") != ""), length(F.col("affix"))))), lambda x: x["affix"])
+    lists = affixes.groupBy(*keys).agg(side("prefix").alias("__pre"), side("suffix").alias("__suf"))
+    joined = words.select(*keys, "word").distinct().join(lists, keys, "left")
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        pre = F.get(F.filter(F.coalesce("__pre", none), lambda p: F.startswith(rest, p) & (F.length(rest) > F.length(p) + 1)), F.lit(0))
+        suf = F.get(F.filter(F.coalesce("__suf", none), lambda x: F.endswith(rest, x) & (F.length(rest) > F.length(x) + 1)), F.lit(0))
+        shorter = F.when(pre.isNotNull(), F.substr(rest, F.length(pre) + 1)).when(suf.isNotNull(), F.substr(rest, F.lit(1), F.length(rest) - F.length(suf)))
+        goes = (F.length(rest) > 2) & shorter.isNotNull()
+        return F.struct(F.when(goes, shorter).otherwise(rest).alias("rest"), (state["morphs"] + goes.cast("int")).alias("morphs"))
+
+    start = F.struct(F.col("word").alias("rest"), F.lit(1).alias("morphs"))
+    steps = F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1)))
+    return joined.withColumn("__s", F.aggregate(steps, start, step)).select(*keys, "word", F.col("__s.rest").alias("rest"), F.col("__s.morphs").alias("morphs"))
+
+
+def synthesis(vocabulary: DataFrame, stripped: DataFrame, keys: list[str], top: int = 400) -> DataFrame:
+    """(keys, index, clean, type): morphs a token, the token share of words that strip to an attested stem, and the type of language.
+
+    Counts words of letters, two at least. isolating below 1.5 morphs, or where the
+    ``top`` most frequent words (50 with a vowel, at least) have fewer than 1.4 vowel
+    groups and more than 0.7 of them one; from 3.5 polysynthetic, from 2.3
+    agglutinative, else fusional. An attested stem is a word that stands twice.
+    """
+    alpha = vocabulary.filter(F.col("word").rlike(r"^\p{L}{2,}$"))
+    attested = vocabulary.filter((F.col("n") >= 2) & (F.length("word") >= 2)).select(*keys, F.col("word").alias("rest"), F.lit(True).alias("__at"))
+    joined = alpha.join(stripped, [*keys, "word"]).join(attested, [*keys, "rest"], "left")
+    clean = F.sum(F.when((F.col("morphs") >= 2) & F.col("__at"), F.col("n")).otherwise(0)) / F.sum("n")
+    index = joined.groupBy(*keys).agg((F.sum(F.col("n") * F.col("morphs")) / F.sum("n")).alias("index"), clean.alias("clean"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
+    often = alpha.withColumn("__p", place).filter(F.col("__p") <= top).withColumn("__v", vowel_groups(F.col("word"))).filter("__v > 0")
+    short = often.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.avg("__v").alias("__m"), F.avg((F.col("__v") == 1).cast("int")).alias("__one"))
+    flagged = index.join(short, keys, "left")
+    one = F.coalesce((F.col("__n") >= 50) & (F.col("__m") < 1.4) & (F.col("__one") > 0.7), F.lit(False))
+    kind = F.when(one | (F.col("index") < 1.5), "isolating").when(F.col("index") >= 3.5, "polysynthetic").when(F.col("index") >= 2.3, "agglutinative").otherwise("fusional")
+    return flagged.select(*keys, "index", "clean", kind.alias("type"))
 
 
 def unexplained(vocabulary: DataFrame, peeled: DataFrame, keys: list[str]) -> DataFrame:

@@ -244,6 +244,10 @@ def parse_words(words: DataFrame, space: str, word: str, roots: DataFrame, affix
     return found.mapInArrow(run, "space string, word string, analysis bigint, line string, forms string")
 
 
+#: The mark of a word's end; it never occurs in a word.
+WORD_END = "▁"
+
+
 def learn_merges(words: DataFrame, merges: int) -> list[tuple[str, str]]:
     """The most frequent pairs of neighbouring symbols, merged one after the other; words: (word, n).
 
@@ -252,7 +256,7 @@ def learn_merges(words: DataFrame, merges: int) -> list[tuple[str, str]]:
     the shared folder every few merges so that the lineage stays short.
     """
     state = words.filter(F.col("word").isNotNull() & (F.col("word") != "")).groupBy("word").agg(F.sum("n").alias("n"))
-    state = materialise(state.withColumn("symbols", F.regexp_extract_all("word", F.lit("(?s)."), 0)), "merges")
+    state = materialise(state.withColumn("symbols", F.concat(F.regexp_extract_all("word", F.lit("(?s)."), 0), F.array(F.lit(WORD_END)))), "merges")
     done: list[tuple[str, str]] = []
     for step in range(merges):
         pairs = state.filter(F.size("symbols") > 1).select("n", F.explode(F.arrays_zip(F.slice("symbols", F.lit(1), F.size("symbols") - 1).alias("a"), F.slice("symbols", F.lit(2), F.size("symbols")).alias("b"))).alias("p"))
@@ -278,7 +282,7 @@ def merged_words(words: DataFrame, keys: list[str], merges: int) -> DataFrame:
 
     def learn(frame):
         names, counts = list(frame["word"]), [int(n) for n in frame["n"]]
-        split = [list(w) for w in names]
+        split = [[*w, WORD_END] for w in names]
         total, where = Counter(), {}
         for i, symbols in enumerate(split):
             for pair in zip(symbols, symbols[1:], strict=False):
@@ -312,6 +316,7 @@ def merged_words(words: DataFrame, keys: list[str], merges: int) -> DataFrame:
             for p in changed:
                 if total[p] > 0:
                     heapq.heappush(heap, (-total[p], p))
+        split = [unmarked(x) for x in split]
         out = {k: [frame[k].iat[0]] * len(names) for k in keys}
         return pd.DataFrame({**out, "word": names, "symbols": split}, dtype=object)
 
@@ -329,9 +334,38 @@ def merge_symbols(symbols: Column, a: str, b: str) -> Column:
     return F.aggregate(symbols, F.array().cast("array<string>"), step)
 
 
+class _Joined(str):
+    """A symbol that this merge has made; it is not merged again by it."""
+
+
+def unmarked(symbols: list[str]) -> list[str]:
+    """Symbols without the mark of the word's end."""
+    last = symbols[-1].removesuffix(WORD_END)
+    return symbols[:-1] + ([last] if last else [])
+
+
 def apply_merges(word: Column, merges: list[tuple[str, str]]) -> Column:
-    """The symbols of a word after the merges, in order."""
-    symbols = F.regexp_extract_all(word, F.lit("(?s)."), 0)
-    for a, b in merges:
-        symbols = merge_symbols(symbols, a, b)
-    return symbols
+    """The symbols of a word after the merges, in the order they were learned."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def split(words: pd.Series) -> pd.Series:
+        made: dict[str, list[str]] = {}
+
+        def one(text: str) -> list[str]:
+            symbols = [*text, WORD_END]
+            for a, b in merges:
+                if a in symbols and b in symbols:
+                    new: list[str] = []
+                    for x in symbols:
+                        if x == b and new and new[-1] == a and not isinstance(new[-1], _Joined):
+                            new[-1] = _Joined(a + b)
+                        else:
+                            new.append(x)
+                    symbols = [str(x) for x in new]
+            return unmarked(symbols)
+
+        for w in words.dropna().unique():
+            made[w] = one(w)
+        return words.map(lambda w: made.get(w))
+
+    return split(word)

@@ -137,7 +137,7 @@ def vector_cosine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def morph_bigrams(spark: SparkSession, folder: str) -> DataFrame:
-    rows = r.markers(spark, folder, "pair", "verse", "word_idx", "morph_idx", "type").withColumn("at", F.col("word_idx") * 1000 + F.col("morph_idx"))
+    rows = r.markers(spark, folder, "pair", "verse", "word_idx", "morph_idx", "type").withColumn("at", F.shiftleft(F.col("word_idx").cast("bigint"), 32) + F.col("morph_idx"))
     one = rows.groupBy("pair", "verse", "at").agg(F.min("type").alias("type"))
     found = sequence.neighbours(one, ["pair", "verse"], "at", "type")
     return found.filter("after is not null and type is not null").groupBy("pair", "type", F.col("after").alias("next_type")).agg(F.count(F.lit(1)).alias("n"))
@@ -180,6 +180,15 @@ d AS (SELECT nb.pair, target, source, nb.n AS n_both, 2.0::DOUBLE * nb.n / (ns.n
 TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_\p{M}]*"
 
 SQL = {
+    "token_classes": r"""SELECT lang, CASE WHEN regexp_full_match(t, '\p{L}+(?:[-''’]\p{L}+)*') THEN 'word' WHEN regexp_full_match(replace(replace(b, ',', ''), '.', ''), '\p{N}+') AND length(b) - length(replace(b, '.', '')) <= 1 THEN 'number'
+WHEN regexp_full_match(t, '[\p{P}\p{S}]+') THEN 'punctuation' ELSE 'other' END AS class, count(*) AS n
+FROM (SELECT lang, t, regexp_replace(t, '\A[^\p{N}]+|[^\p{N}]+\z', '', 'g') AS b FROM (SELECT lang, unnest(string_split(text, ' ')) AS t FROM documents) WHERE t <> '') GROUP BY 1, 2""",
+    "char_association": with_(M, W, V, body="""SELECT pair, first, second, n, round(association, 4) AS association FROM (
+SELECT b.pair, b.first, b.second, b.n, (b.n / t.total) / ((x.n / t.total) * (y.n / t.total) + 1e-9) AS association
+FROM (SELECT pair, substr(word, i, 1) AS first, substr(word, i + 1, 1) AS second, count(*) AS n FROM (SELECT pair, word, unnest(generate_series(1, length(word) - 1)) AS i FROM v) GROUP BY 1, 2, 3 HAVING count(*) >= 20) b
+JOIN (SELECT pair, substr(word, i, 1) AS c, count(*) AS n FROM (SELECT pair, word, unnest(generate_series(1, length(word))) AS i FROM v) GROUP BY 1, 2) x ON x.pair = b.pair AND x.c = b.first
+JOIN (SELECT pair, substr(word, i, 1) AS c, count(*) AS n FROM (SELECT pair, word, unnest(generate_series(1, length(word))) AS i FROM v) GROUP BY 1, 2) y ON y.pair = b.pair AND y.c = b.second
+JOIN (SELECT pair, sum(length(word)) AS total FROM v GROUP BY 1) t ON t.pair = b.pair) WHERE association > 3"""),
     "vocab": with_(M, W, V, body="SELECT pair, word, n FROM v"),
     "doc_vocab": f"SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS word FROM documents) GROUP BY 1, 2",
     "type_token": with_(M, W, V, body="SELECT pair, count(*) AS types, sum(n) AS tokens, count(*) FILTER (n = 1) AS hapax, round(count(*) FILTER (n = 1) / count(*), 6) AS hapax_share FROM v GROUP BY pair"),
@@ -194,7 +203,7 @@ SELECT w.pair, w.word AS target, b.source, count(*) AS n FROM w JOIN (
     SELECT dt.pair, dt.verse, dt.word AS target, f.word AS source, f.at_ FROM dt JOIN (SELECT pair, verse, word, min(at_) AS at_ FROM s GROUP BY 1, 2, 3) f ON f.pair = dt.pair AND f.verse = dt.verse) x
     JOIN d ON d.pair = x.pair AND d.target = x.target AND d.source = x.source) WHERE k = 1) b ON b.pair = w.pair AND b.verse = w.verse AND b.target = w.word GROUP BY 1, 2, 3)"""),
     "gloss_ranked": with_(C, body="SELECT pair, target, source, n, prob, rank FROM g WHERE rank <= 5"),
-    "sense_link_ops": with_(C, body="SELECT 'bilingual.sense_link.create' AS op, pair, source AS reference_lemma, target AS vernacular_lemma, least(prob, 0.6) AS confidence FROM g WHERE rank = 1 AND prob >= 0.5 AND n >= 2"),
+    "sense_link_ops": with_(C, body="SELECT 'bilingual.sense_link.add' AS op, pair, source AS reference_lemma, target AS vernacular_sense, round(least(prob, 0.6), 4) AS confidence FROM g WHERE rank = 1 AND prob >= 0.5 AND n >= 2"),
     "gloss_tiers": with_(C, body="SELECT pair, CASE WHEN prob >= 0.5 AND n >= 2 THEN 'high' WHEN prob >= 0.25 THEN 'medium' ELSE 'low' END AS tier, count(*) AS targets FROM g WHERE rank = 1 GROUP BY 1, 2"),
     "stem_groups": with_(M, W, V, body="SELECT pair, CASE WHEN length(word) >= 5 THEN left(word, 5) ELSE word END AS stem, count(*) AS words, sum(n) AS n FROM v GROUP BY 1, 2"),
     "form_pos": with_(M, body="""SELECT pair, form, pos, n, round(n / total, 6) AS share FROM (
@@ -224,7 +233,7 @@ SELECT pair, rank() OVER (PARTITION BY pair ORDER BY c) + (count(*) OVER (PARTIT
 SELECT pair, form, sum("count") AS c FROM l WHERE "count" >= 0 GROUP BY 1, 2) JOIN (SELECT pair, form, count(*) AS n FROM m WHERE form IS NOT NULL GROUP BY 1, 2) USING (pair, form)) GROUP BY pair"""),
     "vector_cosine": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "morph_bigrams": with_(M, body="""SELECT pair, type, next_type, count(*) AS n FROM (SELECT pair, type, lead(type) OVER (PARTITION BY pair, verse ORDER BY at_) AS next_type FROM (
-SELECT pair, verse, word_idx * 1000 + morph_idx AS at_, min(type) AS type FROM m GROUP BY 1, 2, 3)) WHERE type IS NOT NULL AND next_type IS NOT NULL GROUP BY 1, 2, 3"""),
+SELECT pair, verse, word_idx::BIGINT * 4294967296 + morph_idx AS at_, min(type) AS type FROM m GROUP BY 1, 2, 3)) WHERE type IS NOT NULL AND next_type IS NOT NULL GROUP BY 1, 2, 3"""),
     "word_contexts": with_(M, W, body="""SELECT pair, word, count(*) AS n, count(DISTINCT c) AS contexts FROM (SELECT pair, word,
 array_to_string(list(word) OVER (PARTITION BY pair, verse ORDER BY at_ ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' ') AS x, 
 coalesce(array_to_string(list(word) OVER (PARTITION BY pair, verse ORDER BY at_ ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' '), '') || ' _ ' ||

@@ -143,7 +143,8 @@ def grammar_bits(spark: SparkSession, folder: str) -> DataFrame:
 def corpus_bits(spark: SparkSession, folder: str) -> DataFrame:
     words = r.vocabulary(spark, folder)
     letters = words.select("pair", F.explode(F.regexp_extract_all("word", F.lit("(?s)."), 0)).alias("c")).groupBy("pair").agg(F.greatest(F.countDistinct("c"), F.lit(2)).alias("sigma"))
-    return assess.data_length(words, r.readings(spark, folder).filter("accepted"), letters, ["pair"]).select("pair", F.round("bits", 3).alias("bits"))
+    read = r.readings(spark, folder)
+    return assess.data_length(words, read, letters, ["pair"], read.filter("accepted")).select("pair", F.round("bits", 3).alias("bits"))
 
 
 def worst_constructs(spark: SparkSession, folder: str) -> DataFrame:
@@ -254,7 +255,7 @@ CASE WHEN count(*) >= 2 THEN count(*) FILTER (len(allomorphs) > 0) <= count(*) /
 LEFT JOIN (SELECT pair, sum(length(form) + 1) AS x, count(form) AS n, greatest(count(DISTINCT pos), 1) AS parts FROM l GROUP BY 1) r USING (pair)
 LEFT JOIN (SELECT pair, sum(length(form) + 1) AS x, count(form) AS n, greatest(count(DISTINCT slot_ord), 1) AS slots FROM a GROUP BY 1) f USING (pair)"""),
     "corpus_bits": with_(M, W, V, R, f"""al AS (SELECT pair, greatest(count(DISTINCT c), 2) AS sigma FROM (SELECT pair, unnest({CHARS.format('word')}) AS c FROM v) GROUP BY 1),
-per AS (SELECT pair, word, min(line) AS line, count(*) AS readings FROM r WHERE accepted GROUP BY 1, 2),
+per AS (SELECT pair, word, coalesce(min(line) FILTER (accepted), min(line)) AS line, count(*) AS readings FROM r GROUP BY 1, 2),
 mo AS (SELECT v.pair, v.n, unnest(string_split(line, '-')) AS morph FROM v JOIN per USING (pair, word)),
 co AS (SELECT pair, morph, -log2(c / sum(c) OVER (PARTITION BY pair)) AS bits FROM (SELECT pair, morph, sum(n) AS c FROM mo GROUP BY 1, 2))""",
         body="""SELECT pair, round(rest + coalesce(x, 0), 3) AS bits FROM (SELECT v.pair, sum(CASE WHEN per.line IS NOT NULL THEN n * log2(readings) ELSE n * length(v.word) * log2(sigma) END) AS rest
@@ -264,8 +265,8 @@ SELECT DISTINCT r.pair, r.word, r.line, CASE WHEN g.line IS NULL THEN 0 ELSE 1 E
 FROM r JOIN (SELECT DISTINCT pair, word FROM gold) x ON x.pair = r.pair AND x.word = r.word LEFT JOIN gold g ON g.pair = r.pair AND g.word = r.word AND g.line = r.line) GROUP BY 1, 2"""),
     "ablated_root": with_(L, body="""SELECT pair, entry_id, form, "count" FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY "count" DESC, form, entry_id) - 1 AS p, count(*) OVER (PARTITION BY pair) AS c
 FROM l WHERE form IS NOT NULL AND "count" IS NOT NULL) WHERE p = 3 % c"""),
-    "affix_polarity": with_(A, body="""SELECT *, CASE WHEN prefixes >= 1.3 * suffixes THEN 'prefixing' WHEN suffixes >= 1.3 * prefixes THEN 'suffixing' ELSE 'mixed' END AS polarity FROM (
-SELECT pair, count(DISTINCT form) FILTER (kind = 'prefix') AS prefixes, count(DISTINCT form) FILTER (kind = 'suffix') AS suffixes FROM a GROUP BY pair)"""),
+    "affix_polarity": with_(A, body="""SELECT *, CASE WHEN prefixes > 1.3 * suffixes THEN 'prefixing' WHEN suffixes > 1.3 * prefixes THEN 'suffixing' ELSE 'both' END AS polarity FROM (
+SELECT pair, count(*) FILTER (kind = 'prefix') AS prefixes, count(*) FILTER (kind = 'suffix') AS suffixes FROM a GROUP BY pair)"""),
     "reduplication": with_(M, W, V, body=f"""SELECT pair, count(*) FILTER (n >= 2) AS types, count(*) FILTER (hit) AS redup_types, round(count(*) FILTER (hit) / nullif(count(*) FILTER (n >= 2), 0), 6) AS type_rate,
 round(coalesce(sum(n) FILTER (hit), 0) / sum(n), 6) AS token_rate FROM (SELECT *, n >= 2 AND len(list_filter([1, 2, 3], lambda k: left(word, k) = substr(word, k + 1, k) AND length(word) > 2 * k AND regexp_matches(left(word, k), '[{VOWELS}]'))) > 0 AS hit FROM v) GROUP BY pair"""),
     "infix_pairs": with_(M, W, V, body="""SELECT x.pair, infix, count(DISTINCT stem) AS stems FROM (SELECT pair, substr(word, 2, 2) AS infix, left(word, 1) || substr(word, 4) AS stem FROM v WHERE length(word) >= 5) x

@@ -149,7 +149,16 @@ al AS (SELECT *, row_number() OVER z AS rank, dice - coalesce(lead(dice) OVER z,
   JOIN s0 ON s0.pair = t0.pair AND s0.verse = t0.verse JOIN ns ON ns.pair = s0.pair AND ns.source = s0.source GROUP BY 1, 2, 3, nt.n, ns.n) WINDOW z AS (PARTITION BY pair, stem ORDER BY dice DESC, n DESC, source))"""
 GRAM = "regexp_replace(gloss, '[0-9.\\s/()]', '', 'g')"
 
+# a gloss of capitals, without digits, dots, blanks, slashes and brackets, is a label
+INDUCED = """g0 AS (SELECT pair, verse || '|' || word_idx AS wid, morph_idx, min(struct_pack(f := form, g := gloss)) AS x FROM m WHERE form IS NOT NULL AND gloss IS NOT NULL AND verse IS NOT NULL GROUP BY pair, verse, word_idx, morph_idx),
+g1 AS (SELECT pair, wid, morph_idx, x.f AS form, x.g AS gloss, regexp_replace(x.g, '[0-9.\\s/()]', '', 'g') AS b FROM g0),
+g2 AS (SELECT *, b <> '' AND b = upper(b) AND upper(b) <> lower(b) AS gram FROM g1),
+g3 AS (SELECT *, min(morph_idx) FILTER (NOT gram) OVER (PARTITION BY pair, wid) AS root_at FROM g2)"""
+
 SQL = {
+    "induced_lexicon": with_(M, INDUCED, body="""SELECT pair, form, gloss, count(*) AS "count" FROM g3 WHERE morph_idx = root_at GROUP BY 1, 2, 3"""),
+    "induced_affixes": with_(M, INDUCED, body="""SELECT pair, form, gloss, kind, t AS "count" FROM (SELECT *, sum(n) OVER (PARTITION BY pair, form, gloss) AS t, row_number() OVER (PARTITION BY pair, form, gloss ORDER BY n DESC, kind) AS k FROM (
+SELECT pair, form, gloss, CASE WHEN morph_idx < root_at THEN 'prefix' ELSE 'suffix' END AS kind, count(*) AS n FROM g3 WHERE gram AND root_at IS NOT NULL GROUP BY 1, 2, 3, 4)) WHERE k = 1 AND t >= 2"""),
     "pos_votes": with_(M, L, """q AS (SELECT DISTINCT pair, form AS word, pos, 0 AS rank FROM l WHERE form IS NOT NULL AND pos <> '' UNION ALL
 SELECT DISTINCT pair, form, pos, 1 FROM m WHERE type = 'root' AND form IS NOT NULL AND pos <> '' UNION ALL
 SELECT DISTINCT pair, word, pos, 2 FROM (SELECT *, row_number() OVER (PARTITION BY prop_id ORDER BY proposed_at DESC) AS k FROM gemma_proposals) WHERE k = 1 AND word IS NOT NULL AND pos <> '')""", body="""

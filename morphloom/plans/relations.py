@@ -24,7 +24,7 @@ def source_words(spark: SparkSession, folder: str) -> DataFrame:
     """(pair, verse, at, word): source words that stand beside the words of a verse."""
     rows = markers(spark, folder, "pair", "verse", "word_idx", "source_tokens")
     each = rows.select("pair", "verse", "word_idx", F.posexplode("source_tokens").alias("i", "t")).filter(F.col("t.word").isNotNull())
-    return each.select("pair", "verse", (F.col("word_idx") * 1000 + F.col("i")).alias("at"), F.col("t.word").alias("word"))
+    return each.select("pair", "verse", (F.shiftleft(F.col("word_idx").cast("bigint"), 32) + F.col("i")).alias("at"), F.col("t.word").alias("word"))
 
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +66,7 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
 M = "m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY marker_id ORDER BY loaded_at DESC) AS k FROM morph_markers) WHERE k = 1)"
 W = "w AS (SELECT pair, verse, word_idx AS at_, lower(min(word)) AS word FROM m WHERE word IS NOT NULL GROUP BY pair, verse, word_idx)"
 S = (
-    "s AS (SELECT pair, verse, word_idx * 1000 + i - 1 AS at_, source_tokens[i].word AS word FROM "
+    "s AS (SELECT pair, verse, word_idx::BIGINT * 4294967296 + i - 1 AS at_, source_tokens[i].word AS word FROM "
     "(SELECT pair, verse, word_idx, source_tokens, unnest(generate_series(1, len(source_tokens))) AS i FROM m) WHERE source_tokens[i].word IS NOT NULL)"
 )
 V = "v AS (SELECT pair, word, count(*) AS n FROM w GROUP BY pair, word)"

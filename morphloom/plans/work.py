@@ -29,10 +29,15 @@ def word_hypotheses(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("pair", "mechanism").agg(F.countDistinct("word").alias("words"), F.count(F.lit(1)).alias("n"))
 
 
+def _edits(spark: SparkSession, folder: str, kept: str) -> DataFrame:
+    rows = live_rows(table(spark, folder, "tickets"), "id", "updated_at").select("id", "pair", F.posexplode("hypotheses").alias("h_at", "h")).filter(kept)
+    each = rows.select("id", "pair", "h_at", F.posexplode("h.edits").alias("at", "e")).filter("e is not null")
+    return hy.flat_edits(each.select("id", "pair", "h_at", F.col("at").alias("ordinal"), "e.kind", "e.params"), ["id", "pair", "h_at"])
+
+
 def edit_changes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = live_rows(table(spark, folder, "tickets"), "id", "updated_at").select("pair", F.explode("hypotheses").alias("h")).filter("h.verdict.acceptable")
-    edits = rows.select("pair", F.explode("h.edits").alias("e")).filter("e is not null").select("pair", "e.kind", "e.params")
-    return hy.edits_to_changes(edits, ["pair"]).groupBy("pair", "op", "key", "gloss", "pos").agg(F.count(F.lit(1)).alias("n"))
+    found = hy.edits_to_changes(_edits(spark, folder, "h.verdict.acceptable"), ["pair"], "pair")
+    return found.groupBy("pair", "op", "key", "gloss", "pos", "gram", "kind", "rationale").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quota_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,16 +52,24 @@ def option_effects(spark: SparkSession, folder: str) -> DataFrame:
     return hy.compare_options(read.filter("accepted").select("pair", "word"), options, ["pair"])
 
 
-EDITS = """ed AS (SELECT pair, e.kind AS kind, e.params AS params FROM (SELECT pair, unnest(h.edits) AS e FROM (SELECT pair, unnest(hypotheses) AS h FROM (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS k FROM tickets) WHERE k = 1) WHERE h.verdict.acceptable) WHERE e IS NOT NULL)"""
-OP = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{op}'" for k, (op, _) in hy.EDIT_OPS.items()) + " END"
-KEY = "CASE kind " + " ".join(f"WHEN '{k}' THEN json_extract_string(params, '$.{key}')" for k, (_, key) in hy.EDIT_OPS.items()) + " END"
+EDITS = """RECURSIVE e0 AS (SELECT pair, e.kind AS kind, e.params::JSON AS params FROM (SELECT pair, unnest(h.edits) AS e FROM (SELECT pair, unnest(hypotheses) AS h FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS k FROM tickets) WHERE k = 1) WHERE h.verdict.acceptable) WHERE e IS NOT NULL),
+e1 AS (SELECT pair, kind, params FROM e0 UNION ALL
+  SELECT pair, json_extract_string(x, '$.kind'), json_extract(x, '$.params') FROM (SELECT pair, unnest(from_json(json_extract(params, '$.edits'), '["JSON"]')) AS x FROM e1 WHERE kind = 'resegment' AND json_type(params, '$.edits') = 'ARRAY')),
+ed AS (SELECT pair, kind, json_extract_string(params, '$.form') AS form, json_extract_string(params, '$.gloss') AS gloss, json_extract_string(params, '$.pos') AS pos, params FROM e1),
+ch AS (
+  SELECT pair, 'lexical.entry.create' AS op, pair || '=' || form AS key, NULL::VARCHAR AS gloss, NULL::VARCHAR AS pos, NULL::VARCHAR AS gram, NULL::VARCHAR AS kind, NULL::VARCHAR AS rationale FROM ed WHERE kind IN ('add_lexentry', 'split_homograph')
+  UNION ALL SELECT pair, 'lexical.sense.create', 'entry:' || pair || ':' || form, gloss, NULL, NULL, NULL, NULL FROM ed WHERE kind IN ('add_lexentry', 'split_homograph') AND gloss NOT IN ('', '?')
+  UNION ALL SELECT pair, 'lexical.entry.set_pos', 'entry:' || pair || ':' || form, NULL, pos, NULL, NULL, NULL FROM ed WHERE kind IN ('add_lexentry', 'split_homograph') AND pos <> ''
+  UNION ALL SELECT pair, 'lexical.entry.add_allomorph', json_extract_string(params, '$.allomorph'), NULL, NULL, NULL, NULL, NULL FROM ed WHERE kind = 'add_allomorph'
+  UNION ALL SELECT pair, 'morphophonology.affix.add', form, NULL, NULL, coalesce(gloss, form), coalesce(json_extract_string(params, '$.kind'), 'suffix'), NULL FROM ed WHERE kind = 'add_affix'
+  UNION ALL SELECT pair, 'morphophonology.rule.add', coalesce(json_extract_string(params, '$.id'), 'rule'), NULL, NULL, coalesce(json_extract_string(params, '$.archiphoneme'), json_extract_string(params, '$.xml'), 'rule'), NULL, NULL FROM ed WHERE kind = 'add_phon_rule'
+  UNION ALL SELECT pair, 'morphophonology.affix.add', form, NULL, NULL, coalesce(gloss, form), NULL, 'REPAIR/' || kind || ': review manually' FROM ed WHERE kind IN ('narrow_affix', 'retract_affix'))"""
 
 SQL = {
     "decompositions": with_(M, W, V, L, A, AF, KN, EDGE, body="""SELECT DISTINCT e.pair, e.word, e.stem AS lemma, e.side, e.affix FROM e JOIN af ON af.pair = e.pair AND af.side = e.side AND af.affix = e.affix
 WHERE e.k <= 6 AND length(e.stem) >= 2 AND (e.pair, e.stem) IN (SELECT pair, word FROM kn)"""),
-    "edit_changes": with_(EDITS, body=f"""SELECT pair, op, key, gloss, pos, count(*) AS n FROM (SELECT pair, {OP} AS op, {KEY} AS key, json_extract_string(params, '$.gloss') AS gloss, json_extract_string(params, '$.pos') AS pos FROM ed)
-WHERE op IS NOT NULL AND key IS NOT NULL AND key <> '' GROUP BY ALL"""),
+    "edit_changes": with_(EDITS, body="SELECT pair, op, key, gloss, pos, gram, kind, rationale, count(*) AS n FROM ch WHERE key <> '' GROUP BY ALL"),
     "quota_words": with_(M, W, V, body="""SELECT pair, stage, word, n FROM (SELECT *, row_number() OVER (PARTITION BY pair, stage ORDER BY n DESC, word) AS p FROM (
 SELECT *, CASE WHEN length(word) <= 4 THEN 'short' WHEN length(word) <= 8 THEN 'medium' ELSE 'long' END AS stage FROM v)) WHERE p <= CASE stage WHEN 'short' THEN 2 WHEN 'medium' THEN 3 ELSE 0 END"""),
     "option_effects": with_(M, r.R, """b AS (SELECT DISTINCT pair, word FROM r WHERE accepted), o AS (SELECT DISTINCT pair, CASE WHEN confidence >= 0.8 THEN 'sure' ELSE 'unsure' END AS option, word FROM r)""", body="""

@@ -21,13 +21,37 @@ def test_hypotheses_by_mechanism(spark):
     assert not any(m in ("infix", "resegment") for _, m, _ in rows(hy.hypotheses(words, lemmas, affixes, ["k"], []), "word", "mechanism", "detail"))
 
 
-def test_edits_become_changes_and_change_the_grammar(spark):
-    edits = spark.createDataFrame([("p", "add_lexentry", '{"form": "kata", "gloss": "cat", "pos": "noun"}'), ("p", "add_affix", '{"form": "ni"}'), ("p", "add_affix", None), ("p", "composite", "{}")], "k string, kind string, params string")
-    changes = hy.edits_to_changes(edits, ["k"])
-    assert rows(changes) == {("p", "lexical.entry.create", "kata", "cat", "noun"), ("p", "grammar.affix.create", "ni", None, None)}
-    roots, fixes = spark.createDataFrame([("p", "a", "x")], "k string, form string, gloss string"), spark.createDataFrame([("p", "ni", "1SG", "prefix")], "k string, form string, gloss string, kind string")
-    wider, more = hy.apply_edits(roots, fixes, changes, ["k"])
-    assert rows(wider) == {("p", "a", "x"), ("p", "kata", "cat")} and rows(more) == {("p", "ni", "1SG", "prefix")}
+def test_edits_become_changes(spark):
+    data = [("add_lexentry", '{"form": "kata", "gloss": "cat", "pos": "noun"}'), ("split_homograph", '{"form": "x", "gloss": "?"}'), ("add_allomorph", '{"entry_form": "kata", "allomorph": "kat"}'), ("add_affix", '{"form": "ni", "kind": "prefix", "gloss": "1SG"}'),
+            ("add_phon_rule", '{"archiphoneme": "N"}'), ("narrow_affix", '{"form": "s"}'), ("add_affix", None), ("composite", "{}"), (None, "{}"),
+            ("resegment", '{"edits": [{"kind": "add_lexentry", "params": {"form": "in"}}, {"kind": "resegment", "params": {"edits": [{"kind": "retract_affix", "params": {"form": "z", "gloss": "PL"}}]}}]}')]
+    edits = spark.createDataFrame([("p", i, *d) for i, d in enumerate(data)], "k string, ordinal int, kind string, params string")
+    flat = hy.flat_edits(edits, ["k"])
+    got = {(r.op, r.key, r.entry, r.gloss, r.pos, r.gram, r.kind, r.slot, r.rationale) for r in hy.edits_to_changes(flat, ["k"], "k").collect()}
+    entry, none = lambda f: ("lexical.entry.create", f"p={f}", f"entry:p:{f}", None, None, None, None, None, None), None
+    assert got == {
+        entry("kata"), ("lexical.sense.create", "entry:p:kata", "entry:p:kata", "cat", none, none, none, none, none), ("lexical.entry.set_pos", "entry:p:kata", "entry:p:kata", none, "noun", none, none, none, none),
+        entry("x"), ("lexical.entry.add_allomorph", "kat", "entry:p:kata", none, none, none, none, none, none), ("morphophonology.affix.add", "ni", none, none, none, "1SG", "prefix", "1", none),
+        ("morphophonology.rule.add", "rule", none, none, none, "N", none, none, none), ("morphophonology.affix.add", "s", none, none, none, "s", none, none, "REPAIR/narrow_affix: review manually"),
+        entry("in"), ("morphophonology.affix.add", "z", none, none, none, "PL", none, none, "REPAIR/retract_affix: review manually"),
+    }
+    assert [tuple(r.ordinal) for r in flat.filter("kind = 'retract_affix'").collect()] == [(9, 1, 0)]
+
+
+def test_edits_change_the_grammar(spark):
+    roots = spark.createDataFrame([("p", "kata", "cat", "noun", ["kat"])], "k string, form string, gloss string, pos string, allomorphs array<string>")
+    affixes = spark.createDataFrame([("p", "s", "PL", "suffix", 1, ""), ("p", "s", "3SG", "suffix", 1, ""), ("p", "z", "PL", "suffix", 2, "noun")], "k string, form string, gloss string, kind string, slot int, req_pos string")
+    data = [("add_affix", '{"form": "ni", "kind": "prefix"}'), ("add_allomorph", '{"entry_form": "kata", "allomorph": "kat"}'), ("add_allomorph", '{"entry_form": "kata", "allomorph": "kac"}'), ("add_allomorph", '{"entry_form": "new", "allomorph": "ne"}'),
+            ("add_lexentry", '{"form": "new", "gloss": "late"}'), ("split_homograph", '{"form": "kata", "gloss": "other"}'), ("narrow_affix", '{"form": "s", "gloss": "PL", "req_pos": "noun"}'), ("narrow_affix", '{"form": "s", "slot_ord": 3}'),
+            ("retract_affix", '{"form": "z"}'), ("add_affix", '{"form": "z"}'), ("add_phon_rule", '{"id": "r", "xml": "<x/>"}'), ("add_phon_rule", '{"id": "q"}')]
+    edits = hy.flat_edits(spark.createDataFrame([("p", i, *d) for i, d in enumerate(data)], "k string, ordinal int, kind string, params string"), ["k"])
+    out, fixes, rules = hy.apply_edits(roots, affixes, edits, ["k"])
+    assert {(r.form, r.gloss, r.pos, tuple(r.allomorphs)) for r in out.collect()} == {("kata", "cat", "noun", ("kat", "kac")), ("kata", "other", "root", ()), ("new", "?", "root", ("ne",)), ("new", "late", "root", ())}
+    assert {tuple(r)[1:] for r in fixes.collect()} == {("s", "PL", "suffix", "3", "noun"), ("s", "3SG", "suffix", "3", ""), ("z", "z", "suffix", "1", ""), ("ni", "ni", "prefix", "1", "")}
+    assert [tuple(r) for r in rules.collect()] == [("p", "r", "<x/>")]
+    same = hy.apply_edits(roots, affixes, edits.limit(0), ["k"])
+    assert same[0].count() == 1 and same[1].count() == 3 and same[2].count() == 0
+
 
 
 def test_quota_options_and_samples(spark):

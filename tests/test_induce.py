@@ -32,14 +32,15 @@ def test_peeling_reaches_the_depth_asked_for(spark, monkeypatch):
     monkeypatch.setattr(induction, "_known", lambda *_: known.withColumnRenamed("k", "pair"))
     monkeypatch.setattr(induction, "_edges", lambda *_: affixes(spark).withColumnRenamed("k", "pair"))
     assert rows(induction.peeled_words(spark, ""), "word", "peeled") == {("aaaaaaawalk", 5), ("aaaawalk", 4)}
-    assert rows(induction.synthesis(spark, ""), "index") == {(6.5,)}
+    assert rows(induction.synthesis(spark, ""), "index", "type") == {(6.5, "polysynthetic")}
     assert rows(induction.unexplained_mass(spark, ""), "stacked") == {(0.5,)}
 
 
 def test_synthesis_and_what_is_left(spark):
     vocabulary = words(spark, "walk", "niwalk", "zzzz", "papala")
     peeled = induce.peel(vocabulary, words(spark, "walk"), affixes(spark), ["k"])
-    assert rows(induce.synthesis(vocabulary, peeled, ["k"])) == {("p", 1.25, "isolating")}
+    stripped = induce.strip_edges(vocabulary, affixes(spark), ["k"])
+    assert rows(induce.synthesis(vocabulary, stripped, ["k"]), "index", "type") == {(1.25, "isolating")}
     assert rows(induce.unexplained(vocabulary, peeled, ["k"])) == {("p", 0.0, 0.25)}
 
 

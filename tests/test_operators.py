@@ -115,7 +115,7 @@ def test_parser_equals_exhaustive_search():
 def test_merges(spark):
     words = spark.createDataFrame([("low", 5), ("lower", 2), ("newest", 6), ("widest", 3)], "word string, n int")
     merges = morph.learn_merges(words, 4)
-    assert merges[:2] == [("e", "s"), ("es", "t")]
+    assert merges[:3] == [("e", "s"), ("es", "t"), ("est", "▁")]
     assert column(spark, morph.apply_merges(F.lit("lowest"), merges), x=1)[-1].endswith("est")
 
 
@@ -179,7 +179,8 @@ def test_gold_functions(spark):
     assert get(gold.english_inflection(F.lit("try"), F.lit("tries"))) == "PL" and get(gold.english_inflection(F.lit("make"), F.lit("making"))) == "PROG"
     edit = get(gold.inflection_edit(F.lit("hablar"), F.lit("hablo")))
     assert tuple(edit) == ("suffix", "ar", "o") and tuple(get(gold.inflection_edit(F.lit("toto"), F.lit("mtoto")))) == ("prefix", "", "m")
-    assert get(gold.pos_name(F.lit("PROPN"))) == "noun" and get(gold.pos_name(F.lit("Weird"))) == "weird"
+    assert get(gold.pos_from_upos(F.lit("PROPN"))) == "Proper noun" and get(gold.pos_from_upos(F.lit("Weird"))) == get(gold.pos_from_cycle(F.lit(None).cast("string"))) == "Unknown"
+    assert get(gold.pos_from_cycle(F.lit("ptcl"))) == "Particle" and get(gold.pos_from_dictionary(F.lit("Article"))) == "Determiner" and get(gold.inflection_features(F.lit("V;IND;PST; 1;SG;PL;X"))) == {"Mood": "Indicative", "Tense": "Past", "Person": "First", "Number": "Plural"}
 
 
 def test_classes(spark):
@@ -248,7 +249,7 @@ def test_bilingual(spark):
     walk = F.create_map(F.lit("Plur"), F.lit("pl"), F.lit("Noun"), F.lit("n"))
     assert tuple(column(spark, bilingual.map_tags(F.array(F.lit("Noun"), F.lit("X")), walk), x=1)) == (["n"], ["X"])
     assert column(spark, bilingual.invert(walk), x=1) == {"pl": "Plur", "n": "Noun"}
-    changes = spark.createDataFrame([("bilingual.sense_link.create", {"reference_lemma": "a", "vernacular_lemma": "b"}), ("bilingual.sense_link.create", {"reference_lemma": "a"}), ("x", {})], "op string, fields map<string,string>")
+    changes = spark.createDataFrame([("bilingual.sense_link.add", {"reference_lemma": '{"lang":"eng","lemma":"a"}', "vernacular_sense": '{"entry":"b"}'}), ("bilingual.sense_link.add", {"reference_lemma": "a", "vernacular_sense": "b"}), ("bilingual.sense_link.add", {"reference_lemma": "a"}), ("x", {})], "op string, fields map<string,string>")
     assert rows(bilingual.links_from_changes(changes)) == {("a", "", "b", "")}
 
 
@@ -293,13 +294,98 @@ def test_gates_and_environments(spark):
     assert [r[0] for r in env.select(gates.environment({"right_in": ["a"]})).collect()] == [True, False]
 
 
-def test_ledger(spark):
-    ops = spark.createDataFrame([("a", "k", 0.4, "s1", 1, None), ("a", "k", 0.9, "s2", 2, "g2"), ("a", "k", 0.9, "s2", 3, "g3")], "op string, key string, confidence double, source string, at int, gloss string")
-    assert rows(ledger.merge_changes(ops, "at", ["gloss"])) == {("a", "k", 0.9, 3, 2, "g2")}
+OPS = "op string, key string, confidence double, source string, at int, gloss string"
+DECISIONS = "op string, key string, decision string, by string, at int"
+
+
+def ledger_rows(df, *columns):
+    return {r.key: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+def test_ledger_merges_by_signature(spark):
+    ops = spark.createDataFrame([("a", "k", 0.4, "s1", 1, None), ("a", "k", 0.9, "s2", 2, "g2"), ("a", "k", 0.7, "s2", 3, "g3"), ("a", "one", None, None, 4, ""), ("a", "two", None, "", 5, None), ("a", "two", None, "s", 6, None)], OPS)
+    merged = ledger.merge_changes(ops, "at", ["gloss"])
+    assert ledger_rows(merged, "confidence", "rounds_seen", "status", "locked", "provenance", "gloss") == {
+        "k": (0.9, 3, "deferred", False, ["s1", "s2", "s2"], "g2"), "one": (None, 1, "deferred", False, [], None), "two": (0.0, 2, "deferred", False, ["s"], None),
+    }
+    assert ledger.merge_changes(ops.limit(0), "at", ["gloss"]).count() == 0
+
+
+def test_routing_by_confidence(spark):
+    ops = spark.createDataFrame([("a", k, c, None, i, None) for i, (k, c) in enumerate([("a", 0.9), ("b", 0.6), ("c", 0.2), ("d", None)])], OPS)
+    routed = ledger.route(ledger.merge_changes(ops, "at", ["gloss"]), 0.85, 0.5)
+    assert {k: v[0] for k, v in ledger_rows(routed, "status").items()} == {"a": "accepted", "b": "review", "c": "deferred", "d": "deferred"}
+    assert rows(ledger.route_tally(routed)) == {("accepted", 1), ("review", 1), ("deferred", 2)}
+    assert [r.key for r in ledger.by_status(routed, "deferred").collect()] == ["c", "d"]
+
+
+def test_a_decision_locks_a_row_against_routing_and_later_changes(spark):
+    ops = spark.createDataFrame([("a", "z", 0.2, "s1", 1, None), ("a", "r", 0.9, None, 2, "g")], OPS)
+    decided = ledger.decide(ledger.merge_changes(ops, "at", ["gloss"]), spark.createDataFrame([("a", "z", "accept", "human", 1), ("a", "r", "accept", "x", 1), ("a", "r", "reject", "y", 2), ("a", "unknown", "accept", "human", 3)], DECISIONS), "at")
+    routed = ledger.route(decided)
+    assert ledger_rows(routed, "status", "locked", "decided_by") == {"z": ("accepted", True, "human"), "r": ("rejected", True, "y")}
+    assert rows(ledger.route_tally(routed)) == {("locked", 2)}
+    later = spark.createDataFrame([("a", "z", 0.25, "s2", 9, "late"), ("a", "new", 0.6, None, 10, None)], OPS)
+    again = ledger.merge_changes(later, "at", ["gloss"], state=routed)
+    assert ledger_rows(again, "confidence", "rounds_seen", "status", "locked", "provenance", "gloss") == {
+        "z": (0.2, 2, "accepted", True, ["s1", "s2"], None), "r": (0.9, 1, "rejected", True, [], "g"), "new": (0.6, 1, "deferred", False, [], None),
+    }
+    assert rows(ledger.summary(again)) == {("status", "accepted", 1), ("status", "rejected", 1), ("status", "deferred", 1), ("family", "a", 3), ("locked", "true", 2), ("locked", "false", 1)}
+
+
+def test_decisions_in_between_equal_those_step_by_step(spark):
+    events = [("a", f"k{i % 3}", (i * 7 % 10) / 10, f"s{i}", 2 * i, None if i % 4 else f"g{i}") for i in range(30)]
+    choices = [("a", "k1", "accept", "human", 21), ("a", "k1", "reject", "h2", 45), ("a", "k2", "accept", "early", -1), ("a", "none", "accept", "human", 5)]
+    ops, decisions = spark.createDataFrame(events, OPS), spark.createDataFrame(choices, DECISIONS)
+    whole = ledger.merge_changes(ops, "at", ["gloss"], decisions=decisions)
+    parts = None
+    for low, high in ((-5, 20), (20, 44), (44, 99)):
+        inside = lambda df: df.filter((F.col("at") >= low) & (F.col("at") < high))  # noqa: E731, B023
+        parts = ledger.merge_changes(inside(ops), "at", ["gloss"], state=parts, decisions=inside(decisions))
+    columns = ("confidence", "rounds_seen", "status", "locked", "decided_by", "provenance", "gloss")
+    assert ledger_rows(whole, *columns) == ledger_rows(parts, *columns)
+    assert ledger_rows(whole, "status", "locked", "decided_by") == {"k0": ("deferred", False, None), "k1": ("rejected", True, "h2"), "k2": ("deferred", False, None)}
+
+
+def test_streamed_ledger_locks_too(spark, tmp_path):
+    from morphloom.streaming import ledger as stream
+
+    schema = "op string, key string, ordinal bigint, confidence double, source string, decision string, by string, gloss string"
+    first = [("a", "z", 1, 0.2, "s1", None, None, ""), ("a", "z", 2, None, None, "accept", "human", None), ("a", "n", 3, None, None, "accept", "x", None)]
+    second = [("a", "z", 4, 0.9, "s2", None, None, "late"), ("a", "n", 5, 0.6, None, None, None, "g")]
+    for i, events in enumerate((first, second)):
+        spark.createDataFrame(events, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    stream.to_table(stream.ledger_stream(source), "locked_ledger")
+    got = ledger_rows(stream.newest(spark.table("locked_ledger")), "confidence", "rounds_seen", "status", "locked", "provenance", "gloss")
+    assert got == {"z": (0.2, 2, "accepted", True, ["s1", "s2"], None), "n": (0.6, 1, "review", False, [], "g")}
+
+
+def test_accepted_changes_are_valid(spark):
+    ops = spark.createDataFrame([("lexical.sense.create", "e", 0.9, None, 1, "g"), ("lexical.sense.create", "f", 0.2, None, 2, None)], OPS)
+    routed = ledger.route(ledger.merge_changes(ops, "at", ["gloss"]))
+    fields = F.create_map(F.lit("entry"), F.col("key"), F.lit("gloss"), F.coalesce("gloss", F.lit("")))
+    kept = ledger.accepted_changes(routed, fields)
+    assert [(r.key, r.gloss) for r in kept.collect()] == [("e", "g")] and not {"status", "locked", "rounds_seen", "decided_by"} & set(kept.columns)
+    with pytest.raises(Exception, match="accepted change is invalid: missing field: gloss"):
+        ledger.accepted_changes(routed.withColumn("status", F.lit("accepted")), fields).collect()
+
+
+def test_change_texts(spark):
+    good = '{"op": "lexical.entry.create", "lexeme_form": {"seh": "kufamba"}, "morph_type": "stem", "confidence": 0.7}'
+    texts = [f'{{"ops": [{good}]}}', f"```json\n[{good}]\n```", "no json", '{"x": 1}', '[{"op": "lexical.entry.create", "lexeme_form": {}, "morph_type": "stem"}]', '[{"op": "nope"}]', f'[{good.replace("0.7", "1.5")}]', f'[{good.replace("0.7", chr(34) + "x" + chr(34))}]', "[]"]
+    found = ledger.changes_of(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), ["id"], F.col("t")).withColumn("key", ledger.key_of(F.col("op"), F.col("fields")))
+    assert {(r.id, r.op, r.key, r.reason) for r in found.collect()} == {
+        (0, "lexical.entry.create", "seh=kufamba", None), (1, "lexical.entry.create", "seh=kufamba", None), (2, None, "", "no list of changes"), (3, None, "", "no list of changes"),
+        (4, "lexical.entry.create", "", "missing field: lexeme_form"), (5, "nope", "", "unknown op: nope"), (6, "lexical.entry.create", "seh=kufamba", "confidence out of range"), (7, "lexical.entry.create", "seh=kufamba", "confidence out of range"),
+    }
+
+
+def test_upsert_and_validation(spark):
     state = spark.createDataFrame([("k", "old", "x"), ("j", "keep", None)], "key string, gloss string, pos string")
     new = spark.createDataFrame([("k", "new", None), ("n", "add", "v")], "key string, gloss string, pos string")
     assert rows(ledger.upsert(state, new, ["key"], ["gloss", "pos"])) == {("k", "new", "x"), ("j", "keep", None), ("n", "add", "v")}
-    checked = spark.createDataFrame([("lexical.sense.create", {"entry": "e", "gloss": "g"}, 0.5), ("lexical.sense.create", {"entry": "e"}, 0.5), ("nope", {}, 0.5), ("profile.switch.set", {"name": "a", "value": "b"}, 2.0)], "op string, fields map<string,string>, confidence double")
+    checked = spark.createDataFrame([("lexical.sense.create", {"entry": "e", "gloss": "g"}, 0.5), ("lexical.sense.create", {"entry": "e"}, 0.5), ("nope", {}, 0.5), ("lexical.entry.set_pos", {"entry": "a", "pos": "b"}, 2.0)], "op string, fields map<string,string>, confidence double")
     assert [r.reason for r in ledger.validate(checked).collect()] == [None, "missing field: gloss", "unknown op: nope", "confidence out of range"]
     assert column(spark, ledger.map_key(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))), x=1) == "a=1;b=2"
 
