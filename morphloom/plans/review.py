@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphloom.operators import detect, gates, ledger, review
+from morphloom.operators import detect, gates, ledger, review, switches
 from morphloom.operators.live import live_rows
+from morphloom.plans import grammar
 from morphloom.plans import relations as r
 from morphloom.plans.relations import A, L, M, V, W, with_
 from morphloom.plans.tables import table
@@ -169,6 +170,18 @@ def open_gates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.filter(gates.gate(spec)).select("pair", "polarity")
 
 
+def language_switches(spark: SparkSession, folder: str) -> DataFrame:
+    words, fixes = r.vocabulary(spark, folder), r.affixes(spark, folder)
+    parts = [switches.polarity(fixes, ["pair"]), switches.reduplication(words, ["pair"]), switches.infixation(words, ["pair"]), switches.gender_or_noun_class(words, fixes, ["pair"])]
+    return switches.sweep(parts, None, ["pair"]).select("pair", "switch", "value", "confidence", "support")
+
+
+def alternating_affixes(spark: SparkSession, folder: str) -> DataFrame:
+    near = grammar.near_affixes(spark, folder)
+    made = near.withColumn("z", switches.alternating_segment(F.col("left"), F.col("right")))
+    return made.select("pair", "left", "right", F.array_join("z.changed", "").alias("changed"), "z.vocalic")
+
+
 P = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prop_id ORDER BY proposed_at DESC) AS k FROM gemma_proposals) WHERE k = 1)"
 T = "t AS (SELECT *, impact.priority AS priority, impact.score AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS k FROM tickets) WHERE k = 1)"
 CONF = "CASE conf WHEN 'high' THEN 0.9::DOUBLE WHEN 'medium' THEN 0.6::DOUBLE WHEN 'low' THEN 0.3::DOUBLE END"
@@ -228,6 +241,30 @@ FROM (SELECT DISTINCT pair, lower(target['form']) AS form FROM t WHERE target['f
 LEFT JOIN (SELECT pair, left(word, 4) AS h, count(*) AS c, sum(n) AS n FROM v WHERE length(word) >= 4 GROUP BY 1, 2) g ON g.pair = f.pair AND g.h = left(f.form, 4) AND length(f.form) >= 4)"""),
     "ticket_verdicts": with_(T, body="""SELECT pair, h.mechanism AS mechanism, count(*) AS n, count(h.verdict) AS judged, sum(CASE WHEN h.verdict.acceptable THEN 1 ELSE 0 END) AS acceptable, sum(h.verdict.net) AS net
 FROM (SELECT pair, unnest(hypotheses) AS h FROM t) WHERE h IS NOT NULL GROUP BY 1, 2"""),
+    "language_switches": with_(M, W, V, A, """ws AS (SELECT DISTINCT pair FROM v), w2 AS (SELECT pair, word FROM v WHERE n >= 2),
+pol AS (SELECT pair, count(*) FILTER (kind = 'prefix') AS p, count(*) FILTER (kind = 'suffix') AS s FROM a GROUP BY 1),
+rd AS (SELECT pair, count(DISTINCT word) AS c FROM (
+  SELECT pair, word, left(word, k) AS b FROM (SELECT pair, word, unnest(generate_series(2, length(word) // 2)) AS k FROM v WHERE n >= 2 AND length(word) >= 4 AND NOT contains(word, '-')) WHERE left(word, k) = substr(word, k + 1, k)
+  UNION ALL SELECT pair, word, substr(word, k + 1) FROM (SELECT pair, word, unnest(generate_series(2, length(word) // 2)) AS k FROM v WHERE n >= 2 AND length(word) >= 4 AND NOT contains(word, '-')) WHERE left(word, k) = substr(word, k + 1, k)
+  UNION ALL SELECT pair, word, split_part(word, '-', 1) FROM v WHERE n >= 2 AND length(word) >= 4 AND contains(word, '-') AND split_part(word, '-', 1) <> '' AND word = split_part(word, '-', 1) || '-' || split_part(word, '-', 1)) x
+  WHERE (pair, b) IN (SELECT pair, word FROM v) GROUP BY 1),
+ic AS (SELECT pair, substr(word, 2, 2) AS chunk, count(DISTINCT left(word, 1) || substr(word, 4)) AS c FROM v WHERE length(word) >= 5
+  AND (pair, left(word, 1) || substr(word, 4)) IN (SELECT pair, word FROM v WHERE n >= 2 AND length(word) BETWEEN 3 AND 9) GROUP BY 1, 2),
+ix AS (SELECT pair, list(c ORDER BY c DESC) AS cs FROM ic GROUP BY 1),
+gp AS (SELECT pair, count(*) AS c FROM w2 WHERE length(word) > 2 AND word LIKE '%o' AND (pair, left(word, length(word) - 1) || 'a') IN (SELECT pair, word FROM w2) GROUP BY 1),
+st AS (SELECT DISTINCT w2.pair, substr(word, length(form) + 1) AS stem, form FROM w2 JOIN a ON a.pair = w2.pair AND a.kind = 'prefix' AND length(form) BETWEEN 1 AND 3 AND starts_with(word, form) AND length(word) > length(form) + 2
+  WHERE (w2.pair, substr(word, length(form) + 1)) IN (SELECT pair, word FROM w2)),
+mu AS (SELECT pair, stem FROM st GROUP BY 1, 2 HAVING count(*) >= 2),
+nm AS (SELECT pair, count(*) AS c FROM mu GROUP BY 1),
+ld AS (SELECT pair, count(*) AS c FROM (SELECT st.pair, form FROM st JOIN mu ON mu.pair = st.pair AND mu.stem = st.stem GROUP BY 1, 2 HAVING count(*) >= 8) GROUP BY 1),
+gn AS (SELECT ws.pair, coalesce(gp.c, 0) AS g, coalesce(nm.c, 0) AS m, coalesce(nm.c, 0) >= 24 AND coalesce(ld.c, 0) >= 4 AND coalesce(nm.c, 0) >= coalesce(gp.c, 0) AS nc FROM ws LEFT JOIN gp USING (pair) LEFT JOIN nm USING (pair) LEFT JOIN ld USING (pair))""", body="""
+SELECT pair, 'affix_polarity' AS switch, CASE WHEN p > s * 1.3 THEN 'prefixing' WHEN s > p * 1.3 THEN 'suffixing' ELSE 'both' END AS value, round(0.5 + least(0.4, abs(p - s) / greatest(p + s, 1)), 2) AS confidence, p + s AS support FROM pol
+UNION ALL SELECT ws.pair, 'reduplication', CASE WHEN coalesce(c, 0) >= 8 THEN 'true' ELSE 'false' END, round(0.5 + least(0.4, coalesce(c, 0) / 30), 2), coalesce(c, 0) FROM ws LEFT JOIN rd USING (pair)
+UNION ALL SELECT ws.pair, 'infixation', CASE WHEN coalesce(cs[1], 0) >= 8 AND (len(cs) < 3 OR cs[1] >= 3 * greatest(cs[len(cs) // 2 + 1], 1)) THEN 'true' ELSE 'false' END, CASE WHEN cs IS NULL THEN 0.55 ELSE round(0.5 + least(0.4, cs[1] / 40), 2) END, coalesce(cs[1], 0) FROM ws LEFT JOIN ix USING (pair)
+UNION ALL SELECT pair, 'gender_or_noun_class', CASE WHEN nc THEN 'noun-class' WHEN g >= 8 THEN 'gender' ELSE 'none' END, CASE WHEN nc THEN 0.7 WHEN g >= 8 THEN 0.65 ELSE 0.55 END, CASE WHEN nc THEN m ELSE g END FROM gn"""),
+    "alternating_affixes": with_(A, body=f"""SELECT pair, "left", "right", array_to_string(changed, '') AS changed, len(list_filter(changed, lambda k: contains('aeiou', k))) > 0 AS vocalic FROM (
+SELECT *, list_sort(list_concat(list_filter(c, lambda k: NOT list_contains(d, k)), list_filter(d, lambda k: NOT list_contains(c, k)))) AS changed FROM (
+SELECT *, list_distinct(regexp_extract_all("left", '.')) AS c, list_distinct(regexp_extract_all("right", '.')) AS d FROM ({grammar.NEAR.format(t="a")})))"""),
     "open_gates": with_(M, A, body="""SELECT pair, polarity FROM (SELECT *, CASE WHEN prefixes > 1.3 * suffixes THEN 'prefixing' WHEN suffixes > 1.3 * prefixes THEN 'suffixing' ELSE 'both' END AS polarity FROM (
 SELECT pair, count(*) FILTER (kind = 'prefix') AS prefixes, count(*) FILTER (kind = 'suffix') AS suffixes FROM a GROUP BY pair))
 WHERE polarity = 'both' OR polarity = 'suffixing' AND pair IN (SELECT pair FROM m WHERE list_contains(map_keys(features), 'Case'))"""),
@@ -235,5 +272,5 @@ WHERE polarity = 'both' OR polarity = 'suffixing' AND pair IN (SELECT pair FROM
 
 QUERIES = {f.__name__: f for f in (
     auto_accept, accept_precision, ledger_merge, ledger_decide, ledger_route, ledger_resumed, ledger_summary, ledger_accepted, ledger_valid, ledger_upsert, model_ops, ledger_stream, ticket_queue, ticket_escalated, ticket_counts, ticket_links, ticket_recycled,
-    ticket_steps, ticket_impact, ticket_verdicts, open_gates,
+    ticket_steps, ticket_impact, ticket_verdicts, open_gates, language_switches, alternating_affixes,
 )}
