@@ -28,9 +28,9 @@ def test_gender_and_noun_classes(spark):
     both = words(spark, *[s + e for s in stems for e in "oa"])
     assert value(switches.gender_or_noun_class(both, none, ["k"])) == [("gender", 0.65, 8)]
     assert value(switches.gender_or_noun_class(words(spark, "gato"), none, ["k"])) == [("none", 0.55, 0)]
-    roots = [f"roo{a}{b}" for a in "bdgkl" for b in "aeiou"]
+    roots = [f"roo{a}{b}" for a in "bdgklmnprs" for b in "eiu"]
     prefixes = spark.createDataFrame([("p", f, "prefix") for f in ("m", "wa", "ki", "vi", "long")], "k string, form string, kind string")
-    assert value(switches.gender_or_noun_class(words(spark, *roots, *[p + r for p in ("m", "wa", "ki", "vi", "long") for r in roots]), prefixes, ["k"])) == [("noun-class", 0.7, 25)]
+    assert value(switches.gender_or_noun_class(words(spark, *roots, *[p + r for p in ("m", "wa", "ki", "vi", "long") for r in roots]), prefixes, ["k"])) == [("noun-class", 0.7, 30)]
     assert switches.gender_or_noun_class(both.limit(0), prefixes, ["k"]).count() == 0
 
 
