@@ -142,12 +142,14 @@ def pair_rows(pieces: DataFrame, seed: int = 0) -> DataFrame:
     code = lambda x: F.xxhash64(F.lit(seed), F.col("space"), x)
     nobody = F.struct(F.lit(None).cast("bigint").alias("code"), F.lit(None).cast("string").alias("item"), F.col("sides").alias("bits"), F.lit(0).alias("block"))
     coded = pieces.select("space", "i", "j", "sides", F.transform("items", lambda x: F.struct(code(x["item"]).alias("code"), x["item"].alias("item"), x["bits"].alias("bits"), x["block"].alias("block"))).alias("items"))
+    # what an item is to its partners, made once for each basket; the partners of a place are a slice of it
+    slim = coded.withColumn("slim", F.transform("items", lambda x: F.struct(x["code"].alias("code"), x["bits"].alias("bits"), x["block"].alias("block"))))
     # place 0 stands for the basket itself; an item's partners are nobody (its own row) and the items after it
-    firsts = coded.select("space", "i", "j", "items", F.lit(0).alias("__z"), "sides", F.posexplode(F.concat(F.array(nobody), "items")).alias("at", "x"))
-    alone = F.when((F.col("at") > 0) & (F.col("i") == F.col("j")) | (F.col("at") == 0) & (F.col("sides") > 0), F.array(F.struct(F.lit(None).cast("bigint").alias("code"), F.col("x.bits").alias("bits"), F.lit(-1).alias("block"))))
-    later = F.transform(F.slice("items", F.col("at") + 1, F.size("items")), lambda y: F.struct(y["code"].alias("code"), y["bits"].alias("bits"), y["block"].alias("block")))
-    none = F.array().cast("array<struct<code bigint, bits int, block int>>")
-    partners = F.concat(F.coalesce(alone, none), F.when(F.col("at") > 0, later).otherwise(none))
+    firsts = slim.select("space", "i", "j", "slim", "sides", F.posexplode(F.concat(F.array(nobody), "items")).alias("at", "x"))
+    alone = F.array(F.struct(F.lit(None).cast("bigint").alias("code"), F.col("x.bits").alias("bits"), F.lit(-1).alias("block")))
+    later = F.slice("slim", F.col("at") + 1, F.size("slim"))
+    own = (F.col("at") > 0) & (F.col("i") == F.col("j")) | (F.col("at") == 0) & (F.col("sides") > 0)
+    partners = F.when(F.col("at") == 0, F.when(own, alone)).when(own, F.concat(alone, later)).otherwise(later)
     rows = firsts.select("space", "i", "j", "x", F.explode(partners).alias("y")).filter((F.col("i") == F.col("j")) | (F.col("y.block") < 0) | (F.col("x.block") != F.col("y.block")))
     bits, single = F.col("x.bits").bitwiseAND(F.col("y.bits")), F.col("y.code").isNull()
     old, new = bits.bitwiseAND(BEFORE), F.shiftright(bits, 1)
