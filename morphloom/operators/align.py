@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphloom.session import materialise
+from morphloom.operators.em import em_table  # noqa: F401 - part of this module's interface
 
 
 def dice_scores(source: DataFrame, target: DataFrame, space: str, row: str, word: str) -> DataFrame:
@@ -71,25 +71,3 @@ def confidence_tier(prob: Column, count: Column) -> Column:
 def stem_group(word: Column, prefix: int = 5) -> Column:
     """The key under which words with a common beginning are grouped; shorter words stand alone."""
     return F.when(F.length(word) >= prefix, F.substring(word, 1, prefix)).otherwise(word)
-
-
-def em_table(source: DataFrame, target: DataFrame, rounds: int = 5, keep: float = 1e-6) -> DataFrame:
-    """(space, target, source, prob): lexical translation probabilities by expectation maximisation (the first IBM model).
-
-    source, target: (space, row, at, word). Starts uniform over co-occurring
-    words. Each round spreads every target token over its row's source tokens by
-    the current probabilities and normalises by source word; entries below
-    ``keep`` go. The table is written to the shared folder every round, so
-    lineage stays short and a lost executor costs one round at most.
-    """
-    s = source.groupBy("space", "row", F.col("word").alias("source")).agg(F.count(F.lit(1)).alias("n_s"))
-    t = target.groupBy("space", "row", F.col("word").alias("target")).agg(F.count(F.lit(1)).alias("n_t"))
-    together = materialise(s.join(t, ["space", "row"]), "em-rows")
-    per_source = Window.partitionBy("space", "source")
-    table = together.select("space", "source", "target").distinct().withColumn("prob", F.lit(1.0) / F.count(F.lit(1)).over(per_source))
-    for _ in range(rounds):
-        weighed = together.join(table, ["space", "source", "target"]).withColumn("w", F.col("n_s") * F.col("prob"))
-        token = F.sum("w").over(Window.partitionBy("space", "row", "target"))
-        counts = weighed.withColumn("c", F.col("n_t") * F.col("w") / token).groupBy("space", "source", "target").agg(F.sum("c").alias("c"))
-        table = materialise(counts.withColumn("prob", F.col("c") / F.sum("c").over(per_source)).filter(F.col("prob") > keep).select("space", "source", "target", "prob"), "em")
-    return table.select("space", "target", "source", "prob")
